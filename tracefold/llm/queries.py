@@ -6,6 +6,7 @@ from tracefold.llm.decontaminate import op1_decontaminate
 from tracefold.llm.lang_id import op3_language_id
 from tracefold.llm.near_dedup import op5_near_dedup
 from tracefold.llm.packing import op4_best_fit_packing
+from tracefold.llm.secret_scan import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_best_fit_packing, op5_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language_id, op4_best_fit_packing, op5_near_dedup, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
