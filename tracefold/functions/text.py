@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 NUMERIC_LINE = r"^[\s$()\-\d,.%]*$"
 STAMP = r"\b(0{4,6}[0-9]{1,4})\b"
@@ -16,15 +18,20 @@ COVER_MARKS = ("Control Number:", "Item Number:", "Addendum StartPage")
 SCHEMES = ("bates", "page_label", "pdf_page")
 
 
-@F.pandas_udf("string")
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@lru_cache(maxsize=1)
+def _nfkc():
+    """Made on first use, as it needs a running session."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string", PandasUDFType.SCALAR_ITER)
 
 
 def norm_text(text: Column) -> Column:
     """Compatibility composition, no soft hyphens, line feeds only."""
-    return F.regexp_replace(F.replace(_nfkc(text), F.lit("­"), F.lit("")), "\r\n?", "\n")
+    return F.regexp_replace(F.replace(_nfkc()(text), F.lit("­"), F.lit("")), "\r\n?", "\n")
 
 
 def end_line(text: Column) -> Column:

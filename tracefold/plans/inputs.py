@@ -117,7 +117,7 @@ _NATIVE = "concat(label, chr(9), qty, chr(9), '$', price, chr(9), '(', disc, ')'
 _SHOWN = f"""CASE WHEN l_partkey % 13 = 0 THEN label WHEN l_partkey % 11 = 0 THEN concat(label, {NL}, qty, {NL}, '$', {NL}, price, {NL}, disc, {NL}, tax, '%') WHEN l_partkey % 17 = 0 THEN concat(qty, ' ', price, {NL}, label, {NL}, '14', {NL}, '(', disc, ')', {NL}, tax, '%')
   ELSE concat(label, {NL}, qty, {NL}, '$', {NL}, price, {NL}, '(', disc, ')', {NL}, tax, '%') END"""
 GRID_SQL = "grid AS (" + _GRID.format(fmt="format('{:,.2f}', l_extendedprice)", lineitem="lineitem") + f"),\ngrid_rows AS (SELECT set_id, row_no, l_partkey, label, [{_CELLS}] AS cells FROM grid)"
-SETS_SQL = GRID_SQL + f",\nnative_sets AS (SELECT set_id, string_agg({_NATIVE}, {NL} ORDER BY row_no) AS text FROM grid GROUP BY set_id),\nserved_sets AS (SELECT set_id, string_agg({_SHOWN}, {NL} ORDER BY row_no) AS text FROM grid GROUP BY set_id)"
+SETS_SQL = GRID_SQL + f",\nnative_sets AS (SELECT set_id, string_agg({_NATIVE}, {NL} ORDER BY row_no, {_NATIVE}) AS text FROM grid GROUP BY set_id),\nserved_sets AS (SELECT set_id, string_agg({_SHOWN}, {NL} ORDER BY row_no, {_SHOWN}) AS text FROM grid GROUP BY set_id)"
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,10 +178,10 @@ def bag_sql(source: str, keys: str, name: str, text: str = "text") -> str:
 
 
 BAGS_SQL = SETS_SQL + ",\n" + bag_sql("native_sets", "set_id", "nb") + ",\n" + bag_sql("served_sets", "set_id", "sb") + r""",
-both AS (SELECT set_id, token, ltrim(token, '-') AS unsigned, sum(e) AS expected, sum(s) AS served FROM (SELECT set_id, token, n AS e, 0 AS s FROM nb UNION ALL SELECT set_id, token, 0, n FROM sb) GROUP BY ALL),
+merged AS (SELECT set_id, token, ltrim(token, '-') AS unsigned, sum(e) AS expected, sum(s) AS served FROM (SELECT set_id, token, n AS e, 0 AS s FROM nb UNION ALL SELECT set_id, token, 0, n FROM sb) GROUP BY ALL),
 compared AS (SELECT a.set_id, a.token, CAST(a.expected AS BIGINT) AS expected, CAST(a.served AS BIGINT) AS served, CAST(least(a.expected, a.served) AS BIGINT) AS found, CAST(a.expected - least(a.expected, a.served) AS BIGINT) AS deficit,
   length(rtrim(ltrim(a.token, '-'), '%')) <= 3 AS is_short, (starts_with(a.token, '-') AND a.served < a.expected AND coalesce(u.served > u.expected, FALSE)) AS sign_loss
-  FROM both a LEFT JOIN both u ON u.set_id = a.set_id AND u.token = a.unsigned WHERE a.expected > 0)"""
+  FROM merged a LEFT JOIN merged u ON u.set_id = a.set_id AND u.token = a.unsigned WHERE a.expected > 0)"""
 
 PAIRS_SQL = GRID_SQL + r""",
 pairs_raw AS (SELECT set_id, label, unnest(regexp_extract_all(cell, '""" + TOKEN + r"""')) AS raw FROM (SELECT set_id, label, unnest(cells) AS cell FROM grid_rows) WHERE cell <> label),

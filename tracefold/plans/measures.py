@@ -78,7 +78,7 @@ def collapse_adjacent(spark: SparkSession, sf: str) -> DataFrame:
 _BOOKS = I.PAIRS_SQL.replace("pairs_raw AS (SELECT set_id, label,", "books AS (SELECT set_id, 'own.xlsx' AS workbook, label, cells FROM grid_rows UNION ALL SELECT set_id, 'half.xlsx', label, cells FROM grid_rows WHERE l_partkey % 2 = 0 UNION ALL SELECT set_id + 1, 'other.xlsx', label, cells FROM grid_rows),\npairs_raw AS (SELECT set_id, workbook, label,").replace("(SELECT set_id, label, unnest(cells) AS cell FROM grid_rows)", "(SELECT set_id, workbook, label, unnest(cells) AS cell FROM books)").replace("SELECT set_id, label, raw", "SELECT set_id, workbook, label, raw").replace("SELECT set_id, label, CASE", "SELECT set_id, workbook, label, CASE")
 
 
-@query(f"WITH {_BOOKS}" + ",\nserved_sets AS (SELECT set_id, string_agg(" + I._SHOWN + f", {I.NL} ORDER BY row_no) AS text FROM grid GROUP BY set_id),\n" + I.bag_sql("served_sets", "set_id", "sb") + """,
+@query(f"WITH {_BOOKS}" + ",\nserved_sets AS (SELECT set_id, string_agg(" + I._SHOWN + f", {I.NL} ORDER BY row_no, {I._SHOWN}) AS text FROM grid GROUP BY set_id),\n" + I.bag_sql("served_sets", "set_id", "sb") + """,
 totals AS (SELECT set_id, count(*) AS served_values FROM sb GROUP BY set_id),
 hit AS (SELECT p.set_id, workbook, count(*) AS pairs, count(DISTINCT p.token) AS covered FROM pairs p JOIN sb ON sb.set_id = p.set_id AND sb.token = p.token GROUP BY ALL),
 rated AS (SELECT h.*, served_values, covered / CAST(greatest(served_values, 1) AS DOUBLE) AS yield FROM hit h JOIN totals t ON t.set_id = h.set_id)
@@ -114,7 +114,7 @@ def native_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- association ---
 
-_A = I.PAIRS_SQL + ",\nserved_sets AS (SELECT set_id, string_agg(" + I._SHOWN + f", {I.NL} ORDER BY row_no) AS text FROM grid GROUP BY set_id)" + r""",
+_A = I.PAIRS_SQL + ",\nserved_sets AS (SELECT set_id, string_agg(" + I._SHOWN + f", {I.NL} ORDER BY row_no, {I._SHOWN}) AS text FROM grid GROUP BY set_id)" + r""",
 kept AS (SELECT set_id, list_filter(string_split(lower(regexp_replace(text, '[,$]', '', 'g')), chr(10)), lambda x: NOT regexp_matches(x, '^\s*[0-9]{1,2}\s*$')) AS ls FROM served_sets),
 alines AS (SELECT set_id, unnest(ls) AS line, CAST(unnest(range(0, len(ls))) AS INT) AS line_no FROM kept),
 alabels AS (SELECT DISTINCT set_id, label, regexp_extract_all(lower(label), '[a-z]{3,}') AS ws FROM pairs),
@@ -173,7 +173,7 @@ def dist_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- verdicts ---
 
-_V = _CHECKED + ",\n" + I.bag_sql("native_sets", "set_id", "nb").replace("nb_raw AS", f"native_sets AS (SELECT set_id, string_agg({I._NATIVE}, {I.NL} ORDER BY row_no) AS text FROM grid GROUP BY set_id),\nnb_raw AS", 1) + ",\n" + I.bag_sql("served_sets", "set_id", "sb") + ",\n" + _WORDS + f""",
+_V = _CHECKED + ",\n" + I.bag_sql("native_sets", "set_id", "nb").replace("nb_raw AS", f"native_sets AS (SELECT set_id, string_agg({I._NATIVE}, {I.NL} ORDER BY row_no, {I._NATIVE}) AS text FROM grid GROUP BY set_id),\nnb_raw AS", 1) + ",\n" + I.bag_sql("served_sets", "set_id", "sb") + ",\n" + _WORDS + f""",
 occ AS (SELECT nb.set_id, CAST(sum(nb.n) AS BIGINT) AS occ_expected, CAST(sum(least(nb.n, coalesce(sb.n, 0))) AS BIGINT) AS occ_found FROM nb LEFT JOIN sb ON sb.set_id = nb.set_id AND sb.token = nb.token GROUP BY ALL),
 summed AS (SELECT set_id, {_SUMMED} FROM checked GROUP BY set_id),
 inputs AS (SELECT o.set_id, occ_expected, occ_found, intact, checked - unlocatable - ambiguous AS measurable, o.set_id % 3 <> 0 AS structured, word_accuracy, containment, native_words, common, served_words, CASE WHEN served_words > 0 THEN common / CAST(served_words AS DOUBLE) * 100.0 ELSE 0.0 END AS coverage, CAST(CASE WHEN o.set_id % 29 = 0 THEN 2 ELSE 1 END AS INT) AS n_candidates FROM occ o JOIN words w ON w.set_id = o.set_id JOIN summed s ON s.set_id = o.set_id),
