@@ -87,9 +87,7 @@ def _joiner(t: int, coordinates: int):
         rep = rows["rep"].to_numpy()
         side = rows["side"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(len(rep), coordinates)
-        prefix = rows["prefix"].combine_chunks()
-        bounds, tokens = prefix.offsets.to_numpy() - prefix.offsets[0].as_py(), prefix.flatten().to_numpy()
-        own = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        early = _earlier_values(rows["prefix"].combine_chunks(), value)
         same = key[1].as_py() == key[2].as_py()
         left = np.arange(len(rep)) if same else np.flatnonzero(side == key[1].as_py())
         right = left if same else np.flatnonzero(side == key[2].as_py())
@@ -104,22 +102,39 @@ def _joiner(t: int, coordinates: int):
             n, i, j = m[i, j], a[i], right[j]
             ok = rep[i] < rep[j] if same else rep[i] != rep[j]
             i, j, n = i[ok], j[ok], n[ok]
-            if len(i):  # the prefix is in the common order, so the first shared value is the least
-                first = np.fromiter((_first(own[x], own[y]) == value for x, y in zip(i, j)), bool, len(i))
-                out.append((np.minimum(rep[i], rep[j])[first], np.maximum(rep[i], rep[j])[first], n[first]))
+            for cut in range(0, len(i), 1 << 15):
+                x, y, z = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)], n[cut : cut + (1 << 15)]
+                first = ~(early[x] & early[y]).any(axis=1)
+                out.append((np.minimum(rep[x], rep[y])[first], np.maximum(rep[x], rep[y])[first], z[first]))
         a, b, n = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "matches": pa.array(n, pa.int32())})
 
     return join
 
 
-def _first(a: np.ndarray, b: np.ndarray) -> int | None:
-    """The first of a's values that b has too."""
-    held = set(b.tolist())
-    return next((x for x in a.tolist() if x in held), None)
+def _earlier_values(prefix: pa.ListArray, value: int) -> np.ndarray:
+    """For each signature, as bits, the values before this one that others of the list hold before it too.
 
-
-def near_pairs(docs: DataFrame, coordinates: int = 32, matches: int = 20, seed: int = 11, block: int = 2048) -> DataFrame:
+    Prefixes are in the common order, so a pair that shares one of them was met under it.
+    """
+    bounds, tokens = prefix.offsets.to_numpy() - prefix.offsets[0].as_py(), prefix.flatten().to_numpy()
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.arange(len(tokens)) - bounds[row]
+    upto = np.full(len(bounds) - 1, len(tokens))
+    at = np.flatnonzero(tokens == value)
+    upto[row[at]] = place[at]
+    before = place < upto[row]
+    row, tokens = row[before], tokens[before]
+    _, token, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[token]
+    keep = shared[token]
+    bits = np.zeros((len(bounds) - 1, (int(shared.sum()) + 7) // 8), np.uint8)
+    np.bitwise_or.at(bits, (row[keep], column[keep] >> 3), (1 << (column[keep] & 7)).astype(np.uint8))
+    return bits
+
+
+def near_pairs(docs: DataFrame, coordinates: int = 64, matches: int = 32, seed: int = 11, block: int = 2048) -> DataFrame:
     """(doc_a, doc_b, matches, est_jaccard), doc_a < doc_b; see the module's docstring."""
     signed = materialise(sign(docs, coordinates, seed))
     classes = materialise(signed.distinct().withColumn("rep", F.min("doc_id").over(Window.partitionBy("sig"))))
