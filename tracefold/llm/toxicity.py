@@ -55,7 +55,7 @@ def words_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, shares: tuple[float, float], grades: int = 4, features: int = 4096, l1: float = 1e-4, steps: int = 400) -> Model:
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, shares: tuple[float, float], grades: int = 4, features: int = 4096, l1: float = 3e-5, steps: int = 400) -> Model:
     """Select words, grade the documents and fit the ordinal model. shares: of clean and toxic labels."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 500.0))
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
