@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SERVED = r"(?i)^([0-9]+)_([0-9]+)_([0-9]+)\.pdf$"
-RANGE = r"(?i)pages?\s+([0-9]+)\s*(?:to|-|–)\s*([0-9]+)"
+RANGE = r"(?i)pages?\s+([0-9]+)\s*(?:–|-|to)\s*([0-9]+)"
 
 
 def parse_filename(path: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 TOKEN = r"\(?\s*\$?\s*-?[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?\s*%?"
 DIGITS = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 LEADER_LINE = r"(?md)^.*\.{5,}.*$"
-LIST_MARK = r"(?md)^[ \t]*\([0-9]{1,2}\)(?=\s|$)"
+LIST_MARK = r"(?md)^[ \t]*\([0-9][0-9]?\)(?=$|\s)"
 
 
 def strip_furniture(text: Column) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-NUMERIC_LINE = r"^[\s$()\-\d,.%]*$"
-STAMP = r"\b(0{4,6}[0-9]{1,4})\b"
-LABEL = r"(?i)\bPage\s+([0-9]+)\s+of\s+([0-9]+)\b"
-COVER_MARKS = ("Control Number:", "Item Number:", "Addendum StartPage")
+NUMERIC_LINE = r"^[-0-9%.,()$\s]*$"
+STAMP = r"\b(0000{1,3}[0-9]{1,4})\b"
+LABEL = r"(?i)\bpage\s+([0-9]+)\s+of\s+([0-9]+)\b"
+COVER_MARKS = ("Addendum StartPage", "Control Number:", "Item Number:")
 SCHEMES = ("bates", "page_label", "pdf_page")
 
 

@@ -42,7 +42,7 @@ RULES: tuple[tuple[str, str], ...] = (
     (_w("confidentiality statement"), _CONF),
     *((p, _PII) for p in (_w("ratepayer"), _w("letter of (protest|complaint)"), _w("protest"), _w("comments? (from|of|by)"), _b("customer (comment|complaint)"))),
     ("^comments?$", _PROC),
-    (_b(rf"letter to\s+(the\s+)?[\w\s]*?({'|'.join(_PERSONS)})"), _PROC),
+    (_b(rf"letter to\s+(?:the\s+)?[\s\w]*?({'|'.join(_PERSONS)})"), _PROC),
     (_w("correspondence"), _PROC),
     (_w(rf"(motion|petition) to\s+({'|'.join(_STEPS)})"), _PROC),
     (_w("certificate of service"), _PROC),
@@ -76,7 +76,7 @@ def looks_like_person(party: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(F.regexp_replace(party, ",", " "), r"\.", ". "), r"\s+"), lambda t: t != "")
     bare = F.transform(words, lambda t: F.regexp_replace(F.upper(t), r"\.+$", ""))
     organisation = F.arrays_overlap(bare, F.array(*(F.lit(w) for w in ORGANISATION_WORDS)))
-    shaped = F.forall(words, lambda t: t.rlike(r"^[A-Za-z][A-Za-z'\-]*\.?$"))
+    shaped = F.forall(words, lambda t: t.rlike(r"^[a-zA-Z][-'a-zA-Z]*[.]?$"))
     return F.coalesce(F.size(words).between(2, 3) & ~organisation & shaped, F.lit(False))
 
 

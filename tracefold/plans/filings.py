@@ -22,7 +22,7 @@ def parse_filename(spark: SparkSession, sf: str) -> DataFrame:
 _RANGED = "ranged AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('Pages ', CAST(o_orderkey AS STRING), ' to ', CAST(o_orderkey + 99 AS STRING)) WHEN 1 THEN concat('page 1-', CAST(o_custkey AS STRING)) WHEN 2 THEN 'Volume 2' WHEN 3 THEN concat('Tariff PAGES  7 – ', CAST(o_custkey AS STRING)) END AS description FROM {orders})"
 
 
-@query(f"WITH {_RANGED.format(orders='orders')}\n" + r"SELECT o_orderkey, CAST(nullif(regexp_extract(description, '(?i)pages?\s+([0-9]+)\s*(?:to|-|–)\s*([0-9]+)', 1), '') AS INT) AS first_page, CAST(nullif(regexp_extract(description, '(?i)pages?\s+([0-9]+)\s*(?:to|-|–)\s*([0-9]+)', 2), '') AS INT) AS last_page FROM ranged")
+@query(f"WITH {_RANGED.format(orders='orders')}\n" + r"SELECT o_orderkey, CAST(nullif(regexp_extract(description, '(?i)pages?\s+([0-9]+)\s*(?:–|-|to)\s*([0-9]+)', 1), '') AS INT) AS first_page, CAST(nullif(regexp_extract(description, '(?i)pages?\s+([0-9]+)\s*(?:–|-|to)\s*([0-9]+)', 2), '') AS INT) AS last_page FROM ranged")
 def page_range(spark: SparkSession, sf: str) -> DataFrame:
     d = spark.sql(f"WITH {_RANGED} SELECT * FROM ranged", orders=table(spark, sf, "orders"))
     return d.select("o_orderkey", names.page_range(F.col("description")).alias("r")).select("o_orderkey", "r.*")
@@ -36,10 +36,10 @@ def _refs(spark: SparkSession, sf: str) -> DataFrame:
 _SAID = "said AS (SELECT filename, CASE WHEN item_number % 4 = 0 THEN item_number END AS page_offset, CASE WHEN item_number % 6 = 0 THEN TRUE WHEN item_number % 6 = 1 THEN FALSE END AS retrieval_eligible, concat('about ', filename) AS description FROM {refs} WHERE item_number % 3 <> 1)"
 
 
-@query(f"WITH {I.SERVED_SQL},\n{_SAID.format(refs='refs')}\nSELECT r.filename, control_number, item_number, document_id, coalesce(page_offset, 0) AS page_offset, coalesce(retrieval_eligible, FALSE) AS retrieval_eligible, description FROM refs r LEFT JOIN said s ON s.filename = r.filename WHERE control_number = '49421'")
+@query(f"WITH {I.SERVED_SQL},\n{_SAID.format(refs='refs')}\nSELECT r.filename, control_number, item_number, document_id, coalesce(page_offset, 0) AS page_offset, coalesce(retrieval_eligible, FALSE) AS retrieval_eligible, description FROM refs r LEFT JOIN said s ON s.filename = r.filename WHERE control_number = '70001'")
 def src_list(spark: SparkSession, sf: str) -> DataFrame:
     """Listed files of one control number with the manifest's word on them; offsets and retrieval fail closed."""
-    refs = _refs(spark, sf).where("control_number = '49421'")
+    refs = _refs(spark, sf).where("control_number = '70001'")
     said = spark.sql(f"WITH {_SAID} SELECT * FROM said", refs=_refs(spark, sf))
     return M.with_manifest(refs.drop("path"), said)
 
@@ -72,17 +72,17 @@ def verdict_join(spark: SparkSession, sf: str) -> DataFrame:
     return S.join_verdicts(S.set_labels(S.document_sets(refs)), measured).select("set_id", "label", "first_part", "n_parts", "verdict")
 
 
-_LISTING = "listing AS (SELECT CASE c_custkey % 5 WHEN 0 THEN concat('/n/49421_', CAST(c_custkey AS STRING), '/Exhibit ', CAST(c_nationkey AS STRING), '.docx') WHEN 1 THEN concat('/n/zip/49421_', CAST(c_custkey - 1 AS STRING), '_memo.pdf') WHEN 2 THEN concat('/n/49421_', CAST(c_custkey - 2 AS STRING), '_x/Model.xlsx') WHEN 3 THEN concat('/n/49421_', CAST(c_custkey - 3 AS STRING), '/~$lock.docx') ELSE concat('/n/49421_', CAST(c_custkey - 4 AS STRING), '/readme.txt') END AS path FROM {customer})"
+_LISTING = "listing AS (SELECT CASE c_custkey % 5 WHEN 0 THEN concat('/n/70001_', CAST(c_custkey AS STRING), '/Exhibit ', CAST(c_nationkey AS STRING), '.docx') WHEN 1 THEN concat('/n/zip/70001_', CAST(c_custkey - 1 AS STRING), '_memo.pdf') WHEN 2 THEN concat('/n/70001_', CAST(c_custkey - 2 AS STRING), '_x/Model.xlsx') WHEN 3 THEN concat('/n/70001_', CAST(c_custkey - 3 AS STRING), '/~$lock.docx') ELSE concat('/n/70001_', CAST(c_custkey - 4 AS STRING), '/readme.txt') END AS path FROM {customer})"
 
 
 @query(f"WITH {_LISTING.format(customer='customer')}," + r"""
-items AS (SELECT '49421' AS control_number, CAST(c_custkey AS INT) AS item_number, concat('49421_', CAST(c_custkey AS VARCHAR)) AS k FROM customer),
-files AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, string_split(path, '/')[:-2] AS folders, lower(regexp_extract(path, '\.([^.]*)$', 1)) AS suffix, regexp_extract(path, '(49421_[0-9]+)', 1) AS found FROM listing),
+items AS (SELECT '70001' AS control_number, CAST(c_custkey AS INT) AS item_number, concat('70001_', CAST(c_custkey AS VARCHAR)) AS k FROM customer),
+files AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, string_split(path, '/')[:-2] AS folders, lower(regexp_extract(path, '\.([^.]*)$', 1)) AS suffix, regexp_extract(path, '(70001_[0-9]+)', 1) AS found FROM listing),
 paired AS (SELECT control_number, item_number, path, name, CASE suffix WHEN 'docx' THEN 0 WHEN 'pdf' THEN 1 WHEN 'xlsx' THEN 2 ELSE 3 END AS rank FROM items JOIN files ON found = k WHERE suffix IN ('docx', 'pdf', 'xlsx', 'xlsm') AND NOT starts_with(name, '~$') AND (contains(name, k || '_') OR len(list_filter(folders, lambda f: f = k OR contains(f, k || '_'))) > 0))
 SELECT control_number, item_number, path, CAST(row_number() OVER (PARTITION BY control_number, item_number ORDER BY rank, name, path) AS INT) AS place, row_number() OVER (PARTITION BY control_number, item_number ORDER BY rank, name, path) = 1 AS is_primary FROM paired""")
 def pair_natives(spark: SparkSession, sf: str) -> DataFrame:
     listing = spark.sql(f"WITH {_LISTING} SELECT * FROM listing", customer=table(spark, sf, "customer"))
-    items = table(spark, sf, "customer").select(F.lit("49421").alias("control_number"), F.col("c_custkey").cast("int").alias("item_number"))
+    items = table(spark, sf, "customer").select(F.lit("70001").alias("control_number"), F.col("c_custkey").cast("int").alias("item_number"))
     return S.pair_natives(listing, items)
 
 

@@ -30,7 +30,7 @@ _TABLE = f"concat('Schedule II-', CAST(page_no AS STRING), {NL}, '(amounts in th
 _TABLE_SPARK = _TABLE.format(rows=f"array_join(transform(sequence(1, CAST(doc_id % 90 + 3 AS INT)), r -> {_ROW}), {NL})")
 _TABLE_DUCK = _TABLE.format(rows=f"array_to_string(list_transform(range(1, CAST(doc_id % 90 + 4 AS INT)), lambda r: {_ROW}), {NL})")
 _PAGE = f"""concat(
-  CASE WHEN page_no = 1 AND doc_id % 7 = 0 THEN concat('Control Number: 49421', {NL}, 'Item Number: ', CAST(doc_id AS STRING), {NL}) WHEN page_no = 1 AND doc_id % 7 = 1 THEN concat('Item Number: ', CAST(doc_id AS STRING), {NL}) ELSE '' END,
+  CASE WHEN page_no = 1 AND doc_id % 7 = 0 THEN concat('Control Number: 70001', {NL}, 'Item Number: ', CAST(doc_id AS STRING), {NL}) WHEN page_no = 1 AND doc_id % 7 = 1 THEN concat('Item Number: ', CAST(doc_id AS STRING), {NL}) ELSE '' END,
   CASE WHEN doc_id % 4 = 1 AND page_no % 2 = 0 THEN {{table}} ELSE text END,
   CASE (doc_id + page_no) % 5 WHEN 0 THEN concat({NL}, '0000', CAST(page_no AS STRING)) WHEN 1 THEN concat({NL}, 'Page ', CAST(page_no AS STRING), ' of ', CAST(n AS STRING)) WHEN 2 THEN concat({NL}, 'PAGE ', CAST(page_no AS STRING), ' OF ', CAST(n AS STRING), {NL}, '00000', CAST(page_no AS STRING)) WHEN 3 THEN concat({NL}, '00001 00002', {NL}) ELSE '' END)"""
 
@@ -50,8 +50,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 SPANS_SQL = PAGES_SQL + r""",
 ended AS (SELECT doc_id, page_no, CASE WHEN ends_with(text, chr(10)) THEN text ELSE concat(text, chr(10)) END AS text FROM doc_pages),
 marked AS (SELECT doc_id, page_no, text, CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_no) AS BIGINT) AS char_end,
-  regexp_extract_all(text, '\b(0{4,6}\d{1,4})\b', 1)[-1] AS bates,
-  CASE WHEN regexp_extract(text, '(?i)\bPage\s+(\d+)\s+of\s+(\d+)\b', 1) <> '' THEN concat(regexp_extract(text, '(?i)\bPage\s+(\d+)\s+of\s+(\d+)\b', 1), ' of ', regexp_extract(text, '(?i)\bPage\s+(\d+)\s+of\s+(\d+)\b', 2)) END AS page_label,
+  regexp_extract_all(text, '\b(0000{1,3}[0-9]{1,4})\b', 1)[-1] AS bates,
+  CASE WHEN regexp_extract(text, '(?i)\bpage\s+([0-9]+)\s+of\s+([0-9]+)\b', 1) <> '' THEN concat(regexp_extract(text, '(?i)\bpage\s+([0-9]+)\s+of\s+([0-9]+)\b', 1), ' of ', regexp_extract(text, '(?i)\bpage\s+([0-9]+)\s+of\s+([0-9]+)\b', 2)) END AS page_label,
   (CAST(contains(text, 'Control Number:') AS INT) + CAST(contains(text, 'Item Number:') AS INT) + CAST(contains(text, 'Addendum StartPage') AS INT)) >= 2 AS is_cover_sheet FROM ended),
 spans AS (SELECT doc_id, page_no, text, char_end - length(text) AS char_start, char_end, bates, page_label, is_cover_sheet,
   CASE WHEN bates IS NOT NULL THEN 'bates' WHEN page_label IS NOT NULL THEN 'page_label' ELSE 'pdf_page' END AS anchor_scheme,
@@ -61,7 +61,7 @@ LINES_SQL = SPANS_SQL + r""",
 raw_lines AS (SELECT doc_id, page_no, char_start AS origin, unnest(string_split(text, chr(10))) AS text, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS line_no FROM spans),
 lines AS (SELECT doc_id, page_no, line_no, text, CAST(origin + sum(length(text) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 - length(text) AS BIGINT) AS char_start,
   CAST(origin + sum(length(text) + 1) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS BIGINT) AS char_end,
-  regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND regexp_matches(text, '^[\s$()\-\d,.%]*$') AS is_numeric,
+  regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND regexp_matches(text, '^[-0-9%.,()$\s]*$') AS is_numeric,
   regexp_replace(text, '^\s+|\s+$', '', 'g') = '' AS is_blank FROM raw_lines)"""
 
 # --- filings and served files, from orders ---
@@ -74,7 +74,7 @@ DESCRIPTIONS = (
     "Statement of Position", "Sent offsite", "Placed on the agenda", "Second RIF of the Cities", "Response to requests for information", "Eratta to testimony", "Workpapers to schedule", "NATIVE FILES", "Flash drive",
     "Bate stamp index", "Commission order on rehearing", "Competative market study", "Novemebr true-up filing", "Comission number run memo", "Reply breif", "",
 )
-PARTIES = ("Jane M. Doe", "CenterPoint Energy", "Smith, John", "Commission Staff", "TIEC", "O'Neil, Mary-Ann", "City of Houston", "Texas Industrial Group", "H-E-B, LP", "Cher", "Walmart Inc.", "J. R. Ewing", "Office of Public Utility Counsel", "A1 Storage")
+PARTIES = ("Jane M. Doe", "Lakeside Energy", "Smith, John", "Commission Staff", "TIEC", "O'Neil, Mary-Ann", "City of Springfield", "Prairie Industrial Group", "H-E-B, LP", "Cher", "Walmart Inc.", "J. R. Ewing", "Office of Public Utility Counsel", "A1 Storage")
 
 
 def _cases(values: tuple[str, ...], key: str) -> str:
@@ -83,7 +83,7 @@ def _cases(values: tuple[str, ...], key: str) -> str:
 
 
 _QUOTES = lambda s: s.replace("O''Neil", "O\\'Neil")  # noqa: E731 - the backslash form is Spark's
-_FILING = "'49421' AS control_number, CAST(o_orderkey AS INT) AS item_number, CASE WHEN o_orderkey % 53 = 0 THEN ' conf ' WHEN o_orderkey % 3 = 0 THEN 'TEST' END AS item_type, {description} AS description, {party} AS party"
+_FILING = "'70001' AS control_number, CAST(o_orderkey AS INT) AS item_number, CASE WHEN o_orderkey % 53 = 0 THEN ' conf ' WHEN o_orderkey % 3 = 0 THEN 'TEST' END AS item_type, {description} AS description, {party} AS party"
 FILINGS_SQL = f"filings AS (SELECT {_FILING.format(description=_cases(DESCRIPTIONS, 'o_orderkey'), party=_cases(PARTIES, 'o_custkey'))} FROM orders)"
 
 
@@ -92,7 +92,7 @@ def filings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(f"SELECT {cols} FROM {{orders}}", orders=table(spark, sf, "orders"))
 
 
-_NAME = "CASE WHEN o_orderkey % 41 = 0 THEN concat('notes_', CAST(o_orderkey AS STRING), '.pdf') WHEN o_orderkey % 37 = 0 THEN concat('40000_', CAST(o_custkey AS STRING), '_', CAST(o_orderkey AS STRING), '.pdf') ELSE concat('49421_', CAST(o_custkey AS STRING), '_', CAST({id} AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.PDF' ELSE '.pdf' END) END"
+_NAME = "CASE WHEN o_orderkey % 41 = 0 THEN concat('notes_', CAST(o_orderkey AS STRING), '.pdf') WHEN o_orderkey % 37 = 0 THEN concat('40000_', CAST(o_custkey AS STRING), '_', CAST(o_orderkey AS STRING), '.pdf') ELSE concat('70001_', CAST(o_custkey AS STRING), '_', CAST({id} AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.PDF' ELSE '.pdf' END) END"
 # Ids of one customer come in close runs: orders are numbered within the customer, with a leap at every fifth.
 _ID = "1057000 + rn + 40 * floor((rn - 1) / 5)"
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM {orders}"
