@@ -171,8 +171,15 @@ def rows_of(stream, name: str) -> Iterator[tuple]:
 
 
 def train_dictionary(pages: DataFrame, sample: int = 400, size: int = 64 << 10) -> bytes:
-    """A dictionary from at most ``sample`` pages, the first by a hash of their id; empty if they are too few."""
-    rows = pages.where("html IS NOT NULL").select("page_id", "url", "html").orderBy(F.xxhash64("page_id", "url")).limit(sample).collect()
+    """A dictionary from at most ``sample`` pages, the first by a hash of their id; empty if they are too few.
+
+    Only pages with a hash below a bound that about twice as many pass are compared, so that tasks send few.
+    """
+    known = pages.where("html IS NOT NULL")
+    place = F.xxhash64("page_id", "url")
+    share = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
+    few = known.where(share <= 2.0 * sample / max(1, known.count())).select("page_id", "url", "html")
+    rows = few.orderBy(share, place).limit(sample).collect()
     records = [record(*r) for r in rows]
     try:
         return zstandard.train_dictionary(size, records, level=3).as_bytes()
@@ -210,13 +217,14 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, level: int
 
 def read_archives(spark: SparkSession, archives: list[str] | DataFrame) -> DataFrame:
     """All records of the archives, an archive a task; memory holds one record and a read-ahead."""
-    if isinstance(archives, list):
-        archives = spark.createDataFrame([(a,) for a in archives], "archive STRING")
-        archives = archives.repartition(max(1, archives.count()), "archive")
+    names = list(archives) if isinstance(archives, list) else None
+    if names is not None:
+        archives = spark.range(0, len(names), 1, max(1, len(names))).withColumnRenamed("id", "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b["archive"].to_pylist():
+                name = name if names is None else names[name]
                 fs, path = _open(name)
                 with fs.open_input_stream(path, compression=None) as stream:
                     held, size = [], 0
