@@ -119,11 +119,15 @@ def chi2_upper(x: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def log_models(histogram: np.ndarray) -> list[np.ndarray]:
-    """For each encoding, log(uniform / corpus) of each symbol, by the smoothed corpus counts."""
+    """For each encoding, log(uniform / corpus) of each symbol, by the smoothed corpus counts.
+
+    In an alphabet of one case, a letter counts in either, as capitals may stand in few words but keys.
+    """
     count = dict(zip(SYMBOLS, (histogram + 1.0).tolist()))
     out = []
-    for name, alphabet in ENCODINGS.items():
-        p = np.array([count[s] + (count[s.upper()] if name == "letters" else 0) for s in alphabet])
+    for alphabet in ENCODINGS.values():
+        one_case = alphabet in (alphabet.upper(), alphabet.lower())
+        p = np.array([count[s] + (count[s.swapcase()] if one_case and s.isalpha() else 0) for s in alphabet])
         out.append(-np.log(len(alphabet)) - np.log(p / p.sum()))
     return out
 
