@@ -1,7 +1,7 @@
 """Idempotent ingest into snapshots of parquet tables, and the invariants they must hold.
 
 An upsert is a full join of the stored rows with the new ones; the result is written as a
-new snapshot, and a pointer file is swapped at the end, so that readers see all of it or none.
+new snapshot, and a numbered commit file is added at the end, so that readers see all of it or none.
 """
 
 from __future__ import annotations
@@ -75,11 +75,10 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 class SnapshotStore:
-    """Named parquet tables under a root; a commit is seen whole once its pointer is replaced."""
+    """Named parquet tables under a root; a commit is seen whole once its file is there."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._fs = None
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -87,11 +86,17 @@ class SnapshotStore:
     def _hadoop(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def pointers(self) -> dict[str, str]:
+    def _latest(self) -> int:
+        """The number of the last commit, 0 before the first."""
         fs = self._hadoop()
-        if not fs.exists(self._path("CURRENT")):
+        found = fs.globStatus(self._path("commits/*.json")) or []
+        return max((int(f.getPath().getName().split(".")[0]) for f in found), default=0)
+
+    def pointers(self) -> dict[str, str]:
+        n = self._latest()
+        if not n:
             return {}
-        stream = fs.open(self._path("CURRENT"))
+        stream = self._hadoop().open(self._path(f"commits/{n:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -102,16 +107,17 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/{at}") if at else None
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables aside, then swaps the pointer once for all of them."""
-        new = self.pointers()
+        """Writes all tables aside, then names them in one new commit; a commit made by others meanwhile raises."""
+        n, new = self._latest(), self.pointers()
         for name, df in tables.items():
             at = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{at}")
             new[name] = at
         fs = self._hadoop()
-        fs.mkdirs(self._path("."))
-        out = fs.create(self._path("CURRENT.new"), True)
+        fs.mkdirs(self._path("commits"))
+        aside, target = self._path(f"commits/{uuid.uuid4().hex}.tmp"), self._path(f"commits/{n + 1:012d}.json")
+        out = fs.create(aside, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(self._path("CURRENT.new"), self._path("CURRENT"))
+        if fs.exists(target) or not fs.rename(aside, target):
+            raise RuntimeError(f"commit {n + 1} of {self.root} was made by another writer")

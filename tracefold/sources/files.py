@@ -36,7 +36,7 @@ def served_folder(spark: SparkSession, folder: str, control_number: str, manifes
 
 
 def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, content, sha256) of all files."""
+    """(path, content, sha256) of all files that are not empty; Spark skips those that are."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content", names.content_hash(F.col("content")).alias("sha256"))
 
 
@@ -81,7 +81,7 @@ def read_export(spark: SparkSession, path: str, required: tuple[str, ...]) -> Da
 def paginated_text(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(doc_id, page_no, text) of text files with form feeds between pages. The stand-in for PDF extraction, for which no library is at hand."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    text = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    text = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     pages = text.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\f$", ""), "\f")).alias("p", "text"))
     return pages.select("doc_id", (F.col("p") + 1).alias("page_no"), "text")
 
