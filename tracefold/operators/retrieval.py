@@ -5,21 +5,57 @@ The large training-scale search is a part of its own; this one is exact, for a g
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _nearest_of(k: int):
+    """Of one block of vectors, the k nearest to each query of one block."""
 
+    def unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.sort_by("id")
+        x = rows["e"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        return rows["id"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def topk_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k vectors most like each query, itself left out; ties go to the smaller id."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    j = vectors.crossJoin(q).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("_q")).alias("similarity"))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if len(left) and len(right):
+            (qid, q), (vid, v) = unit(left), unit(right)
+            take = min(len(vid), k + 8)  # more than k, as ties are settled on sums in one order
+            for lo in range(0, len(qid), 512):
+                own = qid[lo : lo + 512, None] == vid[None, :]
+                rough = np.where(own, -np.inf, q[lo : lo + 512] @ v.T)
+                top = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+                sim = np.where(np.take_along_axis(own, top, axis=1), -np.inf, (q[lo : lo + 512, None, :] * v[top]).sum(axis=2))
+                best = np.lexsort((vid[top], -sim), axis=1)[:, :k]
+                sim, near = np.take_along_axis(sim, best, axis=1), np.take_along_axis(vid[top], best, axis=1)
+                ok = np.isfinite(sim)
+                out.append((np.broadcast_to(qid[lo : lo + 512, None], sim.shape)[ok], near[ok], sim[ok]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def topk_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """The k vectors most like each query, itself left out; ties go to the smaller id.
+
+    Exact: blocks of vectors and of queries meet pairwise, so the work grows with queries times
+    vectors, and a task holds two blocks. Vectors of other lengths than the query's, and those
+    without length or with null, NaN or infinite entries, are neither found nor ask.
+    """
+    usable = "NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(e, x -> x != 0)"
+    v, q = (d.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("id IS NOT NULL AND e IS NOT NULL").where(usable) for d in (vectors, queries))
+    vb, qb = (max(1, -(-d.count() // block)) for d in (vectors, queries))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("id", "e", F.size("e").alias("n"), own(vb).alias("vb")).select("*", each(qb).alias("qb"))
+    q = q.select("id", "e", F.size("e").alias("n"), own(qb).alias("qb")).select("*", each(vb).alias("vb"))
+    met = q.groupBy("n", "vb", "qb").cogroup(v.groupBy("n", "vb", "qb")).applyInArrow(_nearest_of(k), "query_id BIGINT, vec_id BIGINT, similarity DOUBLE")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def ranking_metrics(ranked: DataFrame, relevant: Column, k: int) -> DataFrame:
