@@ -32,7 +32,8 @@ def expanded(pairs, k):
     for a, b, m in pairs:
         for x in star.get(a, {a}):
             for y in star.get(b, {b}) if m < k else {b}:
-                out[min(x, y), max(x, y)] = m
+                if x != y:
+                    out[min(x, y), max(x, y)] = m
     for members in star.values():
         for x, y in itertools.combinations(sorted(members), 2):
             out[x, y] = k

@@ -102,8 +102,9 @@ def _joiner(t: int, coordinates: int):
             n, i, j = m[i, j], a[i], right[j]
             ok = rep[i] < rep[j] if same else rep[i] != rep[j]
             i, j, n = i[ok], j[ok], n[ok]
-            for cut in range(0, len(i), 1 << 15):
-                x, y, z = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)], n[cut : cut + (1 << 15)]
+            some = max(1, (1 << 24) // max(1, early.shape[1]))  # bounds the bits held at once
+            for cut in range(0, len(i), some):
+                x, y, z = i[cut : cut + some], j[cut : cut + some], n[cut : cut + some]
                 first = ~(early[x] & early[y]).any(axis=1)
                 out.append((np.minimum(rep[x], rep[y])[first], np.maximum(rep[x], rep[y])[first], z[first]))
         a, b, n = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
