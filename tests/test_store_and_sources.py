@@ -59,11 +59,13 @@ def test_snapshots_are_seen_whole(spark, tmp_path):
 
 
 def test_manifests(spark, tmp_path):
-    item = {"control_number": "1", "item_number": 5, "filing_party": "P", "sets": [{"set_id": "1_5", "status": "operative", "selection_note": None, "documents": [{"filename": "a.pdf", "page_offset": 3}, {"filename": "b.pdf", "filing_party": "Q"}]}]}
-    (tmp_path / "m.json").write_text(json.dumps({"items": [item]}))
+    put = lambda name, value: open(tmp_path / name, "w").write(json.dumps(value))
+    parts = [{"page_offset": 3, "filename": "a.pdf"}, {"filing_party": "Q", "filename": "b.pdf"}]
+    group = {"documents": parts, "selection_note": None, "status": "operative", "set_id": "1_5"}
+    put("m.json", {"items": [{"sets": [group], "filing_party": "P", "item_number": 5, "control_number": "1"}]})
     got = {r.filename: r for r in S.read_manifest(spark, f"{tmp_path}/m.json").collect()}
     assert got["a.pdf"].page_offset == 3 and got["a.pdf"].filing_party == "P" and got["b.pdf"].filing_party == "Q" and got["b.pdf"].status == "operative"
-    (tmp_path / "flat.json").write_text(json.dumps([{"filename": "c.pdf", "page_offset": 7}]))
+    put("flat.json", [{"page_offset": 7, "filename": "c.pdf"}])
     assert [(r.filename, r.page_offset) for r in S.read_manifest(spark, f"{tmp_path}/flat.json").collect()] == [("c.pdf", 7)]
     assert S.read_prior(spark, f"file://{tmp_path}/none.json") is None
     (tmp_path / "broken.json").write_text('{"items": [')
