@@ -118,3 +118,39 @@ def test_odd_inputs(odd_docs, no_docs, make_docs):
     both = make_docs([(7, f"{prose(1, 60)} {key} and {key}"), (7, f"{prose(1, 60)} {key} and {key}"), (None, f"{prose(2, 50_000)} {key}")]).unionByName(odd_docs)
     found = S.scan_secrets(both).collect()
     assert len([r for r in found if r.doc_id == 7]) == 4 and len([r for r in found if r.doc_id is None]) == 1
+
+
+def joined(n=72, seed=12):
+    """Keys behind prefixes, one a document: id -> (text, key)."""
+    r, out = random.Random(seed), {}
+    for i in range(n):
+        key = token(r, "hex", (32, 40, 64)[i % 3])
+        if i % 6 == 5:
+            key = "-".join(key[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+        text = prose(i, 120)
+        at = text.index(" ", 50)
+        out[i] = (f"{text[:at]} {('key-', 'token_', 'sk_live_', 'api/v1/')[i // 3 % 4]}{key}{('', '/edit')[i % 2]} {text[at:]}", key)
+    return out
+
+
+def test_finds_hex_keys_joined_to_words(make_docs):
+    cases = joined()
+    docs = make_docs([(i, t) for i, (t, _) in cases.items()])
+    got = {}
+    for r in S.scan_secrets(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.start + r.length))
+    covers = {i for i, (t, key) in cases.items() if any(a <= t.index(key) and t.index(key) + len(key) <= b for a, b in got.get(i, []))}
+    assert len(covers) >= 0.97 * len(cases)
+    assert all(len(x) == 1 for x in got.values())  # the widest of nested findings alone
+    after = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert all(cases[i][1] not in after[i] and after[i].count("[secret]") == 1 for i in covers)
+
+
+def test_hypotheses_of_a_run():
+    key, uid = "0123456789abcdef" * 2, "01234567-89ab-cdef-0123-456789abcdef"
+    cut = lambda t: [t[a:b] for a, b in S.hypotheses(t, 16)]
+    assert cut(key) == [key] and cut(uid) == [uid]
+    assert cut(f"token_{key}") == [f"token_{key}", key]
+    assert cut(f"api/{uid}/{key}") == [f"api/{uid}/{key}", uid, key]
+    assert cut(f"key-dead-{key}") == [f"key-dead-{key}", f"dead-{key}", key]
+    assert cut("some/short/parts-only") == ["some/short/parts-only"]

@@ -1,6 +1,8 @@
 """Secret scanning by a randomness test battery with false-discovery control.
 
-Candidates are all maximal runs of at least ``min_len`` characters of ``A-Za-z0-9+/_-``.
+Candidates are all maximal runs of at least ``min_len`` characters of ``A-Za-z0-9+/_-``. As a
+key may be joined to words (``token_<key>``, ``api/v1/<key>``), the hypotheses are the run, each part of it
+between ``+/_-``, and each stretch of hexadecimal parts joined by dashes, of ``min_len`` or more.
 The encoding of each is inferred from the signs it uses (decimal, hexadecimal also with
 dashes, base32, base36, base62, base64, letters), which sets its alphabet of k symbols. Then
 
@@ -10,8 +12,9 @@ dashes, base32, base36, base62, base64, letters), which sets its alphabet of k s
 * *evidence*: the likelihood ratio of uniform symbols to the corpus's own characters (counted
   over all documents, restricted to the alphabet). Its inverse is a p-value for "ordinary
   text" by Markov's inequality and shrinks with the length of the token.
-* *false-discovery control*: weighted Benjamini-Hochberg at level q over all candidates of
-  the corpus, with weights in proportion to length, as short tokens have little power.
+* *false-discovery control*: weighted Benjamini-Hochberg at level q over all hypotheses of
+  the corpus, with weights in proportion to length, as short tokens have little power. A run counts
+  as one rejection however many of its hypotheses are rejected; the widest of nested ones are the findings.
   Tokens that fail the battery keep p = 1. The step-up point is found on bins of log p-values, whose number is
   fixed, so it needs no global sort; rounding is to the strict side.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +57,11 @@ NAMES = list(ENCODINGS)
 BIN, BINS = 0.05, 8000
 _classes: list[np.ndarray] = []
 
-CANDIDATE = "doc_id BIGINT, start INT, token STRING, histogram ARRAY<BIGINT>"
-SCORED = "doc_id BIGINT, start INT, length INT, encoding STRING, token_sha256 STRING, p_uniformity DOUBLE, p_runs DOUBLE, p_serial DOUBLE, p_battery DOUBLE, log_evidence DOUBLE, bin INT"
+_PART = re.compile(r"[^+/_-]+")
+_DASHED = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]+(?:-+[0-9a-f]+)+|[0-9A-F]+(?:-+[0-9A-F]+)+)(?![A-Za-z0-9])")
+
+CANDIDATE = "doc_id BIGINT, start INT, token STRING, hypotheses INT, signs BIGINT, histogram ARRAY<BIGINT>"
+SCORED = "doc_id BIGINT, start INT, length INT, encoding STRING, token_sha256 STRING, p_uniformity DOUBLE, p_runs DOUBLE, p_serial DOUBLE, p_battery DOUBLE, log_evidence DOUBLE, bin INT, above INT, top INT"
 
 
 def _class_table() -> np.ndarray:
@@ -90,6 +97,15 @@ def candidates(texts: list[str], min_len: int, histogram: np.ndarray | None = No
                 yield lo + d, s + token.index(body), body
 
 
+def hypotheses(token: str, min_len: int) -> list[tuple[int, int]]:
+    """Where the hypotheses of a run begin and end: the run, then what stands within it. Any two are nested or apart."""
+    found = [(0, len(token))]
+    if not token.isalnum():
+        inner = [m.span() for pattern in (_DASHED, _PART) for m in pattern.finditer(token)]
+        found += [x for x in dict.fromkeys(inner) if x[1] - x[0] >= min_len and x != found[0]]
+    return found
+
+
 def infer(token: str) -> tuple[int, str]:
     """The index of the token's encoding, and the token as symbols of its alphabet."""
     x = set(token)
@@ -190,6 +206,24 @@ class Control:
         return np.clip(np.floor(x / BIN), 0, BINS).astype(np.int64)
 
 
+def judge(runs: list[str], min_len: int, control: Control) -> dict[str, np.ndarray | list]:
+    """Of all hypotheses of the runs: run, offset, token, statistics, bin, the highest bin of those around it
+    (above), and at the first of each run the highest bin of all (top; elsewhere -1)."""
+    spans = [(r, a, b) for r, token in enumerate(runs) for a, b in hypotheses(token, min_len)]
+    tokens = [runs[r][a:b] for r, a, b in spans]
+    stats = battery(tokens, control.models)
+    bins = control.bins(tokens, stats) if tokens else np.zeros(0, np.int64)
+    above, top = np.full(len(spans), -1), np.full(len(spans), -1)
+    first = 0
+    for i, (r, a, b) in enumerate(spans):
+        first = i if i == 0 or spans[i - 1][0] != r else first
+        top[first] = max(top[first], bins[i])
+        # The run comes first, then dashed stretches, then parts, so what is around a hypothesis is before it.
+        for j in (j for j in range(first, i) if spans[j][1] <= a and b <= spans[j][2]):
+            above[i] = max(above[i], bins[j])
+    return stats | {"run": [r for r, _, _ in spans], "offset": [a for _, a, _ in spans], "token": tokens, "bin": bins, "above": above, "top": top}
+
+
 def step_up(counts: dict[int, int], total: int, q: float) -> int:
     """The least bin whose p-value the Benjamini-Hochberg procedure still rejects."""
     best, rejected = BINS + 1, 0
@@ -201,7 +235,7 @@ def step_up(counts: dict[int, int], total: int, q: float) -> int:
 
 
 def _extract(docs: DataFrame, min_len: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("token", pa.string()), ("histogram", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("token", pa.string()), ("hypotheses", pa.int32()), ("signs", pa.int64()), ("histogram", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histogram = np.zeros(len(SYMBOLS), np.int64)
@@ -209,34 +243,36 @@ def _extract(docs: DataFrame, min_len: int) -> DataFrame:
             rows = list(candidates(as_texts(b["text"]), min_len, histogram))
             if rows:
                 i, s, t = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(i)), pa.array(s, pa.int32()), pa.array(t), pa.nulls(len(t), schema[3].type)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([histogram.tolist()], schema[3].type)], schema=schema)
+                spans = [hypotheses(x, min_len) for x in t]
+                sizes = [pa.array([len(x) for x in spans], pa.int32()), pa.array([sum(y - x for x, y in z) for z in spans], pa.int64())]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(i)), pa.array(s, pa.int32()), pa.array(t), *sizes, pa.nulls(len(t), schema[5].type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:5]), pa.array([histogram.tolist()], schema[5].type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL").mapInArrow(run, CANDIDATE)
 
 
 def calibrate(docs: DataFrame, min_len: int, alpha: float, q: float) -> tuple[DataFrame, Control]:
-    """All candidates with their statistics, and the control that decides on them."""
+    """All hypotheses with their statistics, and the control that decides on them."""
     found = materialise(_extract(docs, min_len))
     histogram = np.zeros(len(SYMBOLS))
     for r in found.where("token IS NULL").select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         histogram[r["pos"]] = r["n"]
     tokens = found.where("token IS NOT NULL")
-    total, mean = tokens.agg(F.count("*"), F.avg(F.length("token"))).first()
-    control = Control(log_models(histogram), float(mean or 1.0), alpha)
+    total, signs = tokens.agg(F.coalesce(F.sum("hypotheses"), F.lit(0)), F.sum("signs")).first()
+    control = Control(log_models(histogram), signs / total if total else 1.0, alpha)
     shared = docs.sparkSession.sparkContext.broadcast(control)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ts = b["token"].to_pylist()
-            s = battery(ts, shared.value.models)
-            cols = [b["doc_id"], b["start"], pa.array([len(t) for t in ts], pa.int32()), pa.array([NAMES[e] for e in s["encoding"]], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in ts], pa.string())]
+            s = judge(b["token"].to_pylist(), min_len, shared.value)
+            ts, run = s["token"], pa.array(s["run"], pa.int64())
+            cols = [b["doc_id"].take(run), pa.array(np.array(b["start"].take(run)) + np.array(s["offset"], np.int32), pa.int32()), pa.array([len(t) for t in ts], pa.int32()), pa.array([NAMES[e] for e in s["encoding"]], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in ts], pa.string())]
             cols += [pa.array(s[k], pa.float64()) for k in ("p_uniformity", "p_runs", "p_serial", "p_battery", "log_evidence")]
-            cols.append(pa.array(shared.value.bins(ts, s) if ts else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "encoding", "token_sha256", "p_uniformity", "p_runs", "p_serial", "p_battery", "log_evidence", "bin"])
+            cols += [pa.array(s[k], pa.int32()) for k in ("bin", "above", "top")]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
 
     scored = materialise(tokens.select("doc_id", "start", "token").mapInArrow(test, SCORED))
-    counts = {r["bin"]: r["n"] for r in scored.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    counts = {r["bin"]: r["n"] for r in scored.where("top >= 0").groupBy(F.col("top").alias("bin")).agg(F.count("*").alias("n")).collect()}
     control.least_bin = step_up(counts, total, q)
     return scored, control
 
@@ -244,7 +280,7 @@ def calibrate(docs: DataFrame, min_len: int, alpha: float, q: float) -> tuple[Da
 def scan_secrets(docs: DataFrame, min_len: int = 16, alpha: float = 1e-4, q: float = 0.01) -> DataFrame:
     """A row for each finding: where it stands, its encoding, statistics and digest, not the secret itself."""
     scored, control = calibrate(docs, min_len, alpha, q)
-    return scored.where(F.col("bin") >= control.least_bin).drop("bin")
+    return scored.where((F.col("bin") >= control.least_bin) & (F.col("above") < control.least_bin)).drop("bin", "above", "top")
 
 
 def redact_secrets(docs: DataFrame, min_len: int = 16, alpha: float = 1e-4, q: float = 0.01) -> DataFrame:
@@ -257,11 +293,11 @@ def redact_secrets(docs: DataFrame, min_len: int = 16, alpha: float = 1e-4, q: f
             column = b["text"].to_pylist()
             rows = list(candidates([t or "" for t in column], min_len))
             if rows:
-                tokens = [t for _, _, t in rows]
-                hit = shared.value.bins(tokens, battery(tokens, shared.value.models)) >= shared.value.least_bin
-                for (i, s, t), h in reversed(list(zip(rows, hit))):
-                    if h:
-                        column[i] = column[i][:s] + "[secret]" + column[i][s + len(t) :]
+                x = judge([t for _, _, t in rows], min_len, shared.value)
+                hit = np.flatnonzero((x["bin"] >= shared.value.least_bin) & (x["above"] < shared.value.least_bin))
+                found = [(rows[x["run"][h]][0], rows[x["run"][h]][1] + x["offset"][h], len(x["token"][h])) for h in hit]
+                for i, s, n in sorted(found, reverse=True):
+                    column[i] = column[i][:s] + "[secret]" + column[i][s + n :]
                 for name, values in (("text", column), ("n_chars", [None if t is None else len(t) for t in column])):
                     at = b.schema.get_field_index(name)
                     if at >= 0:
