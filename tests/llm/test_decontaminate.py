@@ -106,3 +106,46 @@ def test_edit_distances_of_rows():
     pad = lambda x: np.array([y + [0] * (9 - len(y)) for y in x], np.uint64)
     got = D.edit_distances(pad(a), np.array([len(x) for x in a]), pad(b), np.array([len(x) for x in b]))
     assert got.tolist() == [plain_distance(x, y) for x, y in zip(a, b)]
+
+
+def test_bit_parallel_distances():
+    r = random.Random(6)
+    for _ in range(150):
+        a, b = ([r.randrange(1, 6) for _ in range(r.randrange(1, 40))] for _ in range(2))
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        assert list(D.bottom_row(x, y, False)) == [plain_distance(a, b[: j + 1]) for j in range(len(b))]
+        assert list(D.bottom_row(x, y, True)) == [min(plain_distance(a, b[i : j + 1]) for i in range(j + 2)) for j in range(len(b))]
+
+
+def test_all_windows_same_as_brute_force(case):
+    docs, items, *_ = case
+    named = [(i, t) for i, t in items if t]
+    plan = D.make_plan([i for i, _ in named], [t for _, t in named], 0.2, 1.01, 2, 8, 7)  # no class reaches more than all
+    assert all(c.walk is None for c in plan.classes)
+    got = {(docs[d][0], plan.ids[i]): x for d, i, _, x, _ in D.scan_texts([t or "" for _, t in docs], plan)}
+    assert got == brute(docs, items)
+
+
+def test_long_items_are_recalled_among_short_ones():
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    items = [words(20) for _ in range(80)] + [words(300) for _ in range(20)] + [words(n) for n in (1500, 1500, 3000, 3000)]
+    plan = D.make_plan(list(range(len(items))), [" ".join(x) for x in items], 0.2, 0.97, 2, 8, 7)
+    docs = []
+    for i, x in enumerate(items):
+        x = list(x)
+        for j in r.sample(range(len(x)), len(x) // 5):
+            x[j] = f"new{r.randrange(10**6)}"
+        docs.append(" ".join(words(30) + x + words(30)))
+    found = {(d, i) for d, i, *_ in D.scan_texts(docs, plan)}
+    assert found <= {(i, i) for i in range(len(items))}
+    assert all((i, i) in found for i in range(100, 104))
+    rng = np.random.default_rng(1)
+    for c, group in enumerate(plan.classes):  # under fresh edits, each class on its own
+        if group.walk is not None:
+            i = rng.choice(np.flatnonzero(plan.of == c), 300)
+            copies = np.zeros((300, group.words.shape[1]), np.uint64)
+            for k, x in enumerate(i):
+                copies[k, : plan.n[x]] = D._edited(plan.own[x], int(plan.k[x]), rng)
+            hit = (D.embed(copies, plan.n[i], group.walk, group.at) == group.keys[:, plan.row[i]]).all(axis=2).any(axis=0)
+            assert hit.mean() >= 0.94
