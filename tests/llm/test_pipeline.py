@@ -62,3 +62,32 @@ def test_empty_and_odd_documents(spark, tmp_path, odd_docs, no_docs):
         docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([(1, ITEM)], "item_id BIGINT, text STRING").write.parquet(f"{d}/benchmark.parquet")
         assert P.run(spark, d).count() == 0  # without labels no language is known
+
+
+def test_odd_documents_reach_every_stage(spark, tmp_path):
+    """Repeated ids with the same and with other texts, null ids, short and very long texts, beside enough labels to learn from."""
+    rows = [(i, prose(i, 90, lang), lang) for i, lang in zip(range(80), ("en", "de", "fr", "es") * 20)]
+    near = prose(4, 90).split()
+    near[40] = "edit"
+    rows += [(4, prose(900, 90), "en"), (300, " ".join(near), "en"), (5, prose(5, 90, "de"), "de")]  # id 4 with two texts, a near copy of the first, a repeated row
+    rows += [(None, prose(901, 90), "en"), (None, f"{prose(902, 60)} {ITEM}", "en"), (None, f"{prose(903, 60)} {KEY} {prose(904, 9)}", None)]
+    rows += [(310, prose(905, 60_000), "en"), (311, None, "en"), (312, "", "en"), (313, " \n ", None), (314, "!!! ###", "de")]
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, l, None, None if t is None else len(t)) for i, t, l in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (1, ITEM), (None, None), (3, "")], "item_id BIGINT, text STRING").write.parquet(f"{d}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, stage in P.STAGES:
+        stage(spark, docs, d).write.parquet(f"{d}/{name}")
+        docs = spark.read.parquet(f"{d}/{name}")
+        if name != "best_fit_packing":
+            kept.append(sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:30]) for r in docs.collect()))
+    start = lambda i, lang="en", n=90: prose(i, n, lang)[:30]
+    clean = [(i, start(i, lang)) for i, lang in zip(range(80), ("en", "de", "fr", "es") * 20)]
+    odd = [(4, start(900)), (-1, start(901)), (-1, start(902)), (-1, start(903)), (310, start(905))]
+    assert kept[0] == sorted(clean + odd + [(300, start(4)), (5, start(5, "de"))])
+    assert kept[1] == sorted(clean + odd)
+    assert kept[2] == kept[3] == sorted(clean + odd[:2] + odd[3:])
+    sizes = docs.groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in sizes} == set(range(80)) | {None, 310}
+    assert sum(r.n_tokens for r in docs.where("doc_id = 310").collect()) >= 60_000

@@ -6,6 +6,11 @@ code points, so that no operator loops over characters or words in Python.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,18 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, one machine alone makes a folder of its own, and a cluster is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="tracefold-checkpoint-")
+            atexit.register(shutil.rmtree, shared[7:], ignore_errors=True)
         sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints for a table that outlives its job; it is deleted with the session's end."""
+    place = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, place)
+    return place
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Deletes a folder of the shared file system, if the session still runs."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm._text import ensure_checkpoint_dir, table
+from tracefold.llm._text import scratch, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
@@ -243,7 +243,7 @@ def read_archives(spark: SparkSession, archives: list[str] | DataFrame) -> DataF
 def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages after a round trip: archived in the shared folder, and read from there."""
     pages = table(spark, sf_dir, "pages")
-    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     written = write_archives(pages, folder, train_dictionary(pages)).collect()
     found = read_archives(spark, sorted(r["archive"] for r in written))
     return found.select("page_id", "url", "html", "content_length", "valid", F.sha2("html", 256).alias("html_sha256"))
