@@ -8,11 +8,9 @@ has the docstring of its operator for nulls, empty texts, ties, repeated rows an
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm._text import ensure_checkpoint_dir, table
+from tracefold.llm._text import discard, scratch, table
 from tracefold.llm.decontaminate import drop_contaminated
 from tracefold.llm.lang_id import keep_identified
 from tracefold.llm.near_dedup import drop_near_duplicates
@@ -53,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packing of the documents that all stages keep. Each stage is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    place = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The packing of the documents that all stages keep.
+
+    Each stage is written to the shared folder; what the next one has read is deleted, and the last with the session's end.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        place = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
+        if before:
+            discard(spark, before)
+        before = place
     return docs
