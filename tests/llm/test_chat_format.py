@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -57,8 +58,46 @@ def test_viterbi_same_as_trying_all_paths():
 
 
 def test_markers():
-    for line, role, rest in (("User: hi", 2, "hi"), ("[AI] yes", 3, "yes"), ("### Instructions", 1, ""), ("Q: why", 2, "why"), ("**model** so", 3, "so"), ("<bot> x", 3, "x"), ("a user: no", 0, "a user: no"), ("Answering: no", 0, "Answering: no"), ("", 0, "")):
-        assert C.split_marker(line) == (role, rest)
+    for line, want in (("User: hi", ("name", "user", "hi")), ("[AI] yes", ("square", "ai", "yes")), ("### Instructions", ("head", "instructions", "")), ("Q: why", ("letter", "q", "why")), ("A) red", ("paren", "a", "red")), ("**model** so", ("star", "model", "so")), ("<bot>     x", ("angle", "bot", "    x")), ("tool: 4", ("name", "tool", "4")), ("a user: no", None), ("Answering: no", None), ("note: no", None), ("", None)):
+        assert C.split_marker(line) == want
+
+
+CONTENT = ("Which is it?\nA) red\nB) blue\nS) green", "A) red", "Q: what is this?\nA: a quiz\n\n\nS: and an end", "    def f(x):\n        return x\n\n    f(1)", "# Heading\n- item\n  - inner: a\n1) one\n[note] <b> **bold** x", "Note: see below.\nTotal: 4\n\t tabbed")
+
+
+def test_no_text_is_lost_and_explicit_markers_win():
+    # Whether a paragraph without a marker is a new turn is for training to say, and in its talks users have one paragraph.
+    talk = [("system", "Be brief."), *((r, re.sub("\n\n+", "\n", x) if r == "user" else x) for x in CONTENT for r in ("user", "assistant")), ("tool", "4"), ("assistant", "It is 4.")]
+    for model in (fitted(), C.fit([])):
+        for key in (0, 1, 2, 3, 5, 8, 13, 21, 34):  # all styles but single letters, in which text like that is ambiguous
+            text, _ = C.write_out(talk, key, bare_share=0.0, tight_share=0.0)
+            if text.startswith("S: "):
+                continue
+            ((_, roles, chat, _),) = C.parse([text], model)
+            assert roles == [r for r, _ in talk]
+            assert chat == "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in talk)
+
+
+def test_styles_that_are_not_in_training():
+    for style in ("Human: |Bot: ", "Customer: |Agent: ", "[you] |[gpt] ", "<user> |<assistant> ", "## Question\n|## Model\n", "(client) |(chatbot) ", "**Human:** |**AI:** ", "Q) |A) "):
+        marks = style.split("|")
+        talk = [(("user", "assistant")[i % 2], f"{prose(i, 9).capitalize()}.\n{prose(50 + i, 20)}") for i in range(6)]
+        ((_, roles, chat, _),) = C.parse(["\n\n".join(marks[i % 2] + x for i, (_, x) in enumerate(talk))], fitted())
+        assert roles == [r for r, _ in talk] and chat == "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in talk)
+
+
+def test_every_character_but_turn_markers_is_kept():
+    r = random.Random(3)
+    for _ in range(60):  # also where roles are anybody's guess
+        lines = [r.choice(["User: ", "A) ", "", "  ", "[AI] ", "tool: ", "B: ", "x "]) + r.choice(["word", "", "two words.", "\tq?"]) for _ in range(r.randrange(1, 12))]
+        ((_, roles, chat, _),) = C.parse(["\n".join(lines)], fitted(40))
+        body = "".join(c for c in chat if not c.isspace())
+        for role in roles:
+            body = body.replace(f"<|{role}|>", "", 1)
+        body = body.replace("<|end|>", "")
+        rest = iter("".join(lines).replace(" ", "").replace("\t", ""))
+        assert all(c in rest for c in body)  # in order
+        assert len(body) >= sum(len((C.split_marker(x) or ("", "", x))[2].replace(" ", "").replace("\t", "")) for x in lines)
 
 
 def test_odd_inputs(spark):
@@ -68,6 +107,7 @@ def test_odd_inputs(spark):
         got = {r.conv_id: r for r in C.format_chats(C.raw_transcripts(talks), model).collect()}
         assert set(got) == {1, 2, None, 3, 4, 5, 6}
         assert got[6].n_turns == 0 and got[6].chat == "" and got[6].n_lines == 0
+        assert got[4].roles == ["oracle"] or "oracle" in got[4].chat
         assert got[None].n_lines >= 1 and "who" in got[None].chat and got[3].chat.count("same") == 2
     none = spark.createDataFrame([], SCHEMA)
     assert C.format_chats(C.raw_transcripts(none), C.train(none, 1000)).count() == 0
