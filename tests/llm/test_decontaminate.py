@@ -149,3 +149,22 @@ def test_long_items_are_recalled_among_short_ones():
                 copies[k, : plan.n[x]] = D._edited(plan.own[x], int(plan.k[x]), rng)
             hit = (D.embed(copies, plan.n[i], group.walk, group.at) == group.keys[:, plan.row[i]]).all(axis=2).any(axis=0)
             assert hit.mean() >= 0.94
+
+
+def test_very_long_items_and_many_items():
+    """An item of 100,000 words, and the memory of a plan of many items beside a long one."""
+    import tracemalloc
+
+    long = prose(1, 100_000)
+    plan = D.make_plan([1, 2], [long, prose(2, 30)], 0.2, 0.97, 2, 8, 7)
+    words = long.split()
+    del words[500], words[90_000]
+    found = list(D.scan_texts([" ".join(words), prose(3, 200), "x " + prose(2, 30)], plan))
+    assert [(d, i) for d, i, *_ in found] == [(0, 0), (2, 1)] and found[0][3] <= 4
+    r = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 30)) for _ in range(4000)] + [prose(4, 600)]
+    tracemalloc.start()
+    D.make_plan(list(range(4001)), texts, 0.2, 0.97, 2, 8, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700e6

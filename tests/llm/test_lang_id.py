@@ -49,3 +49,26 @@ def test_whole_text_counts(make_docs):
     model = L.fit([t for _, t, _ in train], [l for *_, l in train])
     text = prose(5, 100, "en") + " " + prose(6, 20_000, "es")
     assert [g[0] for g in L.predict([text], model, 3, 0.3)] == ["es"]
+
+
+def test_votes_same_as_by_hand():
+    """Family first, then every pair of its languages votes; ties go by the sum of margins, then by name."""
+    got = labelled(160)
+    model = L.fit([t for _, t, _ in got], [l for _, _, l in got], {"en": "a", "de": "a", "fr": "a", "es": "b"})
+    texts = [prose(5000 + i, 25, l) for i, l in enumerate(("en", "de", "fr", "es") * 15)]
+    x = L.averages(texts).astype(float)
+    score = x @ model.weights.T.astype(float) + model.bias
+    for row, found in zip(score, L.predict(texts, model, 3, 0.3)):
+        family = model.families[int(row[: len(model.families)].argmax())]
+        votes = {l: [0, 0.0] for l in model.members[family]}
+        for (a, b), s in zip(model.pairs, row[len(model.families) :]):
+            if a in votes:
+                votes[a if s >= 0 else b][0] += 1
+                votes[a][1], votes[b][1] = votes[a][1] + s, votes[b][1] - s
+        best = sorted(votes, key=lambda l: (-votes[l][0], -votes[l][1], l))[0]
+        assert found[:2] == (best, family) and abs(found[3] - votes[best][1]) < 1e-3
+
+
+def test_without_a_language_column(make_docs):
+    docs = make_docs([(1, prose(1, 30), "en")]).drop("lang")
+    assert [r.language for r in L.identify(docs).collect()] == ["und"] and L.keep_identified(docs).count() == 0

@@ -154,3 +154,40 @@ def test_hypotheses_of_a_run():
     assert cut(f"api/{uid}/{key}") == [f"api/{uid}/{key}", uid, key]
     assert cut(f"key-dead-{key}") == [f"key-dead-{key}", f"dead-{key}", key]
     assert cut("some/short/parts-only") == ["some/short/parts-only"]
+
+
+def test_statistics_same_as_plain_ones():
+    r = random.Random(8)
+    kinds = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": S.ENCODINGS["base62"]}
+    tokens = ["".join(r.choice(a) for _ in range(r.randrange(20, 60))) for a in kinds.values() for _ in range(20)] + ["abab" * 8 + "7f", "0f" * 20]
+    got = S.battery(tokens, S.log_models(np.zeros(len(S.SYMBOLS))))
+    for i, t in enumerate(tokens):
+        alphabet = S.ENCODINGS[S.NAMES[got["encoding"][i]]]
+        k, n, s = len(alphabet), len(t), [alphabet.index(c) for c in t]
+        x2 = sum((s.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+        z = (x2 - (k - 1)) / math.sqrt(max(1 - 1 / n, 0.5))
+        v = 2 / (9 * (k - 1))
+        uniform = 0.5 * math.erfc(((max(k - 1 + z, 1e-12) / (k - 1)) ** (1 / 3) - (1 - v)) / math.sqrt(v) / math.sqrt(2))
+        high = [a >= k / 2 for a in s]
+        n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+        mean = 2 * n1 * (n - n1) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        mid = [a - sum(s) / n for a in s]
+        r1 = sum(a * b for a, b in zip(mid, mid[1:])) / sum(a * a for a in mid)
+        two = lambda z: math.erfc(abs(z) / math.sqrt(2))
+        want = (uniform, two((runs - mean) / math.sqrt(var)), two((r1 + 1 / n) * math.sqrt(n)))
+        assert np.allclose([got[c][i] for c in ("p_uniformity", "p_runs", "p_serial")], want, rtol=1e-6, atol=1e-12)
+
+
+def test_every_candidate_is_found():
+    text = "x " + "a" * 16 + " " + "b" * 15 + " (" + "c1" * 10 + ") é" + "d" * 20 + " " + "e" * 20 + "é --" + "f" * 16 + "-- g+/h" * 3 + "\n" + "Z9" * 400
+    want = [(m.start() + len(m[0]) - len(m[0].lstrip("+/_-")), m[0].strip("+/_-")) for m in re.finditer(r"[A-Za-z0-9+/_-]+", text)]
+    beside = lambda i, t: (i and text[i - 1].isalnum()) or text[i + len(t) : i + len(t) + 1].isalnum()
+    want = [(i, t) for i, t in want if len(t) >= 16 and not beside(i, t)]
+    assert [(i, t) for _, i, t in S.candidates([text], 16)] == want and len(want) >= 4
+
+
+def test_a_worse_fit_takes_more_evidence():
+    control = S.Control([], 20.0, 1e-4)
+    stats = {"log_evidence": np.array([10.0, 10.0, 10.0, 10.0]), "p_battery": np.array([1.0, 0.1, 0.001, 1e-5])}
+    assert control.bins(["x" * 20] * 4, stats).tolist() == [int(x / S.BIN) for x in (10.0, 10 + math.log(0.1), 10 + math.log(0.001), 0)]

@@ -86,3 +86,46 @@ def test_end_of_a_long_text_counts():
     long = prose(1, 60_000)
     a, b = T.score([long, long + " " + " ".join(BAD * 3)], m)[0]
     assert b > a
+
+
+def test_fit_same_as_a_plain_optimiser():
+    """The penalised loss that is reached is that of a slow proximal descent on a plain loss with numerical gradients."""
+    r = np.random.default_rng(4)
+    vocab = np.sort(r.integers(1, 1 << 62, 6, dtype=np.uint64))
+    docs, toxic = [], np.zeros(480, bool)
+    for i in range(480):
+        toxic[i] = i % 3 == 0
+        p = np.array([0.6, 0.6, 0.6, 0.5, 0.3, 0.3]) if toxic[i] else np.array([0.04, 0.04, 0.04, 0.5, 0.4, 0.2])
+        own = np.flatnonzero(r.random(6) < p)
+        docs.append((vocab[own], r.integers(1, 4, len(own))))
+    l1 = 1e-3
+    m = T.fit(docs, toxic, (0.6, 0.4), grades=3, l1=l1, steps=600)
+    x = np.zeros((480, 6))
+    for i, (w, c) in enumerate(docs):
+        x[i, np.searchsorted(vocab, w)] = np.log2(1 + c)
+    # Words that mark toxic documents, and grades by how many of them a document holds.
+    rate = lambda own: ((x[own] > 0).sum(axis=0) + 0.5) / (own.sum() + 1)
+    n1, n0, seen = toxic.sum(), (~toxic).sum(), (x > 0).sum(axis=0)
+    z = (rate(toxic) - rate(~toxic)) / np.sqrt((seen + 1) / 482 * (1 / n1 + 1 / n0))
+    held = (x[:, (z > 6) & (rate(toxic) > 4 * rate(~toxic))] > 0).sum(axis=1)
+    y = np.where(toxic, 1 + (held > np.quantile(held[toxic], 0.5)), 0)
+    assert set(y) == {0, 1, 2}
+    weight = np.where(toxic, 0.4 / n1, 0.6 / n0)
+
+    def loss(theta, w):
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+        s = x @ w
+        return -(weight * np.log(np.maximum(T.sigmoid(edges[y + 1] - s) - T.sigmoid(edges[y] - s), 1e-12))).sum()
+
+    theta, w = np.array([0.5, 1.5]), np.zeros(6)
+    for _ in range(6000):
+        both, g = np.concatenate([theta, w]), np.zeros(8)
+        for j in range(8):
+            step = np.eye(8)[j] * 1e-5
+            g[j] = (loss((both + step)[:2], (both + step)[2:]) - loss((both - step)[:2], (both - step)[2:])) / 2e-5
+        both -= 0.5 * g
+        theta, w = np.maximum.accumulate(both[:2]), np.sign(both[2:]) * np.maximum(np.abs(both[2:]) - 0.5 * l1, 0)
+    own = np.zeros(6)
+    own[np.searchsorted(vocab, m.words)] = m.weights
+    assert abs(loss(m.thresholds, own) + l1 * np.abs(own).sum() - loss(theta, w) - l1 * np.abs(w).sum()) < 1e-4
+    assert np.allclose(own, w, atol=0.05) and np.allclose(m.thresholds, theta, atol=0.05)

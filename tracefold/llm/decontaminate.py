@@ -19,7 +19,7 @@ k = floor(rate * n) word edits of the item.
    verified, in order of lower bounds (common words; the best alignment that ends with the window),
    until no other can be better.
 
-Edge cases: null and empty documents and items match nothing; items under ``min_words``
+Edge cases: null and empty documents and items match nothing; very long ones are compared whole; of windows at equal distance the first counts; items under ``min_words``
 words are ignored as too common to be evidence; equal items each report; repeated document
 rows each report once per row; ids may be null and are passed through; extra columns are ignored.
 """
@@ -192,11 +192,12 @@ def _edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(x, np.uint64)
 
 
-def make_plan(ids: list, texts: list[str], rate: float, recall: float, samples: int, min_words: int, seed: int, most: int = 96, trials: int = 400) -> Plan | None:
+def make_plan(ids: list, texts: list[str], rate: float, recall: float, samples: int, min_words: int, seed: int, most: int = 96, trials: int = 400, longest: int = 2048) -> Plan | None:
     """Segments of all items, and for each length class as many repetitions as the wanted recall takes.
 
     ``trials`` is the number of edited items that the recall of a class is set on; ``most`` bounds
-    the repetitions, and classes from the first on that needs more are verified without them.
+    the repetitions, and classes from the first on that needs more, or that holds items of more than ``longest`` words, whose
+    walks would take long for nothing, are verified without them.
     """
     h, off = word_hashes([t.replace("\x00", " ") for t in texts])
     keep = [i for i in range(len(texts)) if off[i + 1] - off[i] >= min_words]
@@ -224,7 +225,7 @@ def make_plan(ids: list, texts: list[str], rate: float, recall: float, samples:
     for c in range(of.max() + 1):
         items = np.flatnonzero(of == c)
         row[items] = np.arange(len(items))
-        made = None if exact else _repetitions([own[i] for i in items], k[items], recall, samples, np.random.default_rng([seed, c]), most, trials)
+        made = None if exact or n[items].max() > longest else _repetitions([own[i] for i in items], k[items], recall, samples, np.random.default_rng([seed, c]), most, trials)
         exact = made is None
         classes.append(made or LengthClass())
     # All take as many as the class that needs most, so that short items have no less for being apart.

@@ -8,7 +8,7 @@ models are linear in the trigram counts, so that a whole text is scored by one t
 per trigram and model.
 
 The models are trained on at most about ``per_language`` labelled rows a language, drawn by
-a hash of the id. Edge cases: null, empty and letterless texts, or texts that are less than
+a hash of the id. Edge cases: very long texts count whole; without a ``lang`` column, or any label, nothing can be learned and all is "und"; null, empty and letterless texts, or texts that are less than
 ``min_letter_share`` letters, are rejected with language ``und``; rows without a label are scored but
 not learned from; with no labelled rows at all, all documents are ``und``; a language whose
 family is not known is a family of its own; repeated rows are scored each; extra columns
@@ -165,6 +165,8 @@ def predict(texts: list[str], model: Model | None, min_letters: int, min_letter_
 
 def train(docs: DataFrame, per_language: int = 400) -> Model | None:
     """Fit on a bounded, hash-drawn sample of the rows that have a label."""
+    if "lang" not in docs.columns:
+        return None
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -198,7 +200,8 @@ def keep_identified(docs: DataFrame, per_language: int = 400, min_letters: int =
         for b in batches:
             rows = list(predict(as_texts(b["text"]), shared.value, min_letters, min_letter_share))
             i = b.schema.get_field_index("lang")
-            b = b.set_column(i, b.schema.field(i), pa.array([r[0] for r in rows], b.schema.field(i).type))
+            if i >= 0:
+                b = b.set_column(i, b.schema.field(i), pa.array([r[0] for r in rows], b.schema.field(i).type))
             yield b.filter(pa.array([not r[5] for r in rows], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

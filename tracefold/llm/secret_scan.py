@@ -12,13 +12,14 @@ dashes, base32, base36, base62, base64, letters), which sets its alphabet of k s
 * *evidence*: the likelihood ratio of uniform symbols to the corpus's own characters (counted
   over all documents, restricted to the alphabet). Its inverse is a p-value for "ordinary
   text" by Markov's inequality and shrinks with the length of the token.
-* *false-discovery control*: weighted Benjamini-Hochberg at level q over all hypotheses of
+* *false-discovery control*: the p-value of a hypothesis is that of the evidence divided by the battery's, so the
+  worse a token fits randomness, the more evidence it takes; being no smaller, it stays a p-value. Weighted Benjamini-Hochberg at level q over all hypotheses of
   the corpus, with weights in proportion to length, as short tokens have little power. A run counts
   as one rejection however many of its hypotheses are rejected; the widest of nested ones are the findings.
   Tokens that fail the battery keep p = 1. The step-up point is found on bins of log p-values, whose number is
   fixed, so it needs no global sort; rounding is to the strict side.
 
-Edge cases: null and empty texts have no candidates; a corpus without candidates has no
+Edge cases: null and empty texts have no candidates; very long texts are scanned whole; tokens of equal p-values are findings together or not at all; a corpus without candidates has no
 findings; every occurrence of a repeated token is a hypothesis and a finding of its own;
 repeated rows likewise; null ids are passed through; extra columns are ignored, or passed through by ``redact_secrets``.
 """
@@ -201,8 +202,9 @@ class Control:
     def bins(self, tokens: list[str], stats: dict[str, np.ndarray]) -> np.ndarray:
         """Bins of -log(p / weight), rounded down; those that fail the battery are at 0."""
         n = np.array([len(t) for t in tokens], float)
-        x = np.maximum(stats["log_evidence"], 0) + np.log(n / self.mean_length)
-        x = np.where((stats["p_battery"] >= self.alpha) & (stats["log_evidence"] > 0), x, 0.0)
+        fit = np.maximum(stats["p_battery"], 1e-300)
+        x = np.maximum(stats["log_evidence"] + np.log(fit), 0) + np.log(n / self.mean_length)
+        x = np.where((fit >= self.alpha) & (stats["log_evidence"] + np.log(fit) > 0), x, 0.0)
         return np.clip(np.floor(x / BIN), 0, BINS).astype(np.int64)
 
 
