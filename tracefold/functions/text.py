@@ -11,7 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-NUMERIC_LINE = r"^[-0-9%.,()$\s]*$"
+#: All that is white space in any script, information separators and next line included.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NUMERIC_LINE = rf"^[-0-9%.,()${WHITE}]*$"
+#: Texts of nothing but signs that compatibility composition leaves alone, and soft hyphens.
+PLAIN = r"^[\x00-\x7f\xad\xc0-\xff]*$"
 STAMP = r"\b(0000{1,3}[0-9]{1,4})\b"
 LABEL = r"(?i)\bpage\s+([0-9]+)\s+of\s+([0-9]+)\b"
 COVER_MARKS = ("Addendum StartPage", "Control Number:", "Item Number:")
@@ -30,8 +34,9 @@ def _nfkc():
 
 
 def norm_text(text: Column) -> Column:
-    """Compatibility composition, no soft hyphens, line feeds only."""
-    return F.regexp_replace(F.replace(_nfkc()(text), F.lit("­"), F.lit("")), "\r\n?", "\n")
+    """Compatibility composition, no soft hyphens, line feeds only. What is ASCII, or Latin-1 letters of its own, needs no look at the tables of composition."""
+    composed = F.when(text.rlike(PLAIN), text).otherwise(_nfkc()(F.when(~text.rlike(PLAIN), text)))
+    return F.regexp_replace(F.replace(composed, F.lit("­"), F.lit("")), "\r\n?", "\n")
 
 
 def end_line(text: Column) -> Column:
@@ -45,8 +50,8 @@ def word_types(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space of all kinds off both ends; Spark's trim takes off spaces only."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """White space of all kinds off both ends."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def is_blank(line: Column) -> Column:

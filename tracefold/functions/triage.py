@@ -6,6 +6,9 @@ The first that matches decides, and its pattern is the record of why.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +67,12 @@ REPAIRS = tuple(
 
 
 def normalize_description(text: Column) -> Column:
-    """Trimmed, white space single, known misspellings put right."""
-    out = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
+    """Trimmed, white space single, known misspellings put right where one look finds any."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
+    out = clean
     for wrong, right in REPAIRS:
         out = F.regexp_replace(out, "(?i)" + wrong, right)
-    return out
+    return F.when(clean.rlike("(?i)" + "|".join(wrong for wrong, _ in REPAIRS)), out).otherwise(clean)
 
 
 def looks_like_person(party: Column) -> Column:
@@ -80,14 +84,38 @@ def looks_like_person(party: Column) -> Column:
     return F.coalesce(F.size(words).between(2, 3) & ~organisation & shaped, F.lit(False))
 
 
-def evaluate(item_type: Column, description: Column, party: Column) -> Column:
-    """A struct of include, reason and matched_rule. Kept unless a rule fires; null and empty say nothing."""
+def hints(pattern: str) -> list[str]:
+    """For each alternative of a pattern, a literal that all its matches hold in lower case: a cheap test before the pattern itself."""
+    depth, parts = 0, [""]
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    out = []
+    for part in parts:
+        while "(" in part:
+            part = re.sub(r"\([^()]*\)[?*]?", "\0", part)
+        part = re.sub(r"\[[^]]*\][*?+]*|\\.[*+?]?|.[?*]|[$^]", "\0", part)
+        out.append(max(part.split("\0"), key=len))
+    if not all(out):
+        raise ValueError(f"{pattern} may match without any literal")
+    return out
+
+
+def evaluate(item_type: Column, normal: Column, party: Column) -> Column:
+    """A struct of include, reason and matched_rule. Kept unless a rule fires; null and empty say nothing.
+
+    ``normal`` has to be a column of its own that holds the normalised description, or each rule would normalise it anew.
+    """
     verdict = lambda reason, rule: F.struct(F.lit(False).alias("include"), F.lit(reason).alias("reason"), rule.alias("matched_rule"))
-    text = normalize_description(description)
     sealed = F.upper(F.regexp_replace(item_type, r"^\s+|\s+$", "")).isin(*SEALED_TYPES)
     out = F.when(sealed, verdict(REASONS[0], F.concat(F.lit("item_type="), item_type)))
     out = out.when(looks_like_person(party), verdict("pii_risk", F.lit("filing_party=individual")))
+    low = F.lower(normal)
     for pattern, reason in RULES:
-        out = out.when(text.rlike("(?i)" + pattern), verdict(reason, F.lit(pattern)))
+        likely = reduce(Column.__or__, (low.contains(x) for x in dict.fromkeys(hints(pattern))))
+        out = out.when(likely & normal.rlike("(?i)" + pattern), verdict(reason, F.lit(pattern)))
     none = F.lit(None).cast("string")
     return out.otherwise(F.struct(F.lit(True).alias("include"), none.alias("reason"), none.alias("matched_rule")))

@@ -26,8 +26,11 @@ def served_lines(served: DataFrame) -> DataFrame:
 
 def label_hits(pairs: DataFrame, lines: DataFrame, overlap: float = LABEL_OVERLAP) -> DataFrame:
     """(set_id, label, line_no, hits, words) wherever a label is on a line."""
-    labels = pairs.select("set_id", "label").distinct().withColumn("ws", F.regexp_extract_all(F.lower("label"), F.lit("[a-z]{3,}"), F.lit(0))).where("size(ws) > 0")
-    j = lines.join(labels, "set_id").withColumn("hits", F.size(F.filter("ws", lambda w: F.contains("line", w)))).withColumn("words", F.size("ws"))
+    # A word of a label is three letters or more, so lines without that many in a row have no part in it.
+    lines = lines.where(F.col("line").rlike("[a-z]{3}"))
+    labels = pairs.select("set_id", "label").distinct().withColumn("ws", F.regexp_extract_all(F.lower("label"), F.lit("[a-z]{3,}"), F.lit(0)))
+    # Both sides come partitioned by the set, and lines are more than any estimate of them, so they are merged.
+    j = lines.hint("merge").join(labels, "set_id").withColumn("hits", F.size(F.filter("ws", lambda w: F.contains("line", w)))).withColumn("words", F.size("ws"))
     return j.where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("words") * overlap))).select("set_id", "label", "line_no", "hits", "words")
 
 
@@ -40,7 +43,21 @@ def owners(hits: DataFrame) -> DataFrame:
 def governing(lines: DataFrame, owned: DataFrame) -> DataFrame:
     """Each line with the owner of the last owned line at or above it."""
     w = Window.partitionBy("set_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.join(owned, ["set_id", "line_no"], "left").withColumn("governor", F.last("owner", ignorenulls=True).over(w))
+    return lines.join(owned.hint("merge"), ["set_id", "line_no"], "left").withColumn("governor", F.last("owner", ignorenulls=True).over(w))
+
+
+def value_lines(needles: DataFrame, ruled: DataFrame, chunk: int = 512) -> DataFrame:
+    """(set_id, needle, value_lines, vs): on how many lines each number stands, and on which, under which governor, where these are few.
+
+    The lines of a set that hold digits meet its numbers as arrays on one row, or on one for each ``chunk`` numbers, and not as a join of all with all.
+    """
+    lines = ruled.where(F.col("line").rlike("[0-9]")).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "governor", "line"))).alias("ls"))
+    sized = needles.withColumn("chunks", F.ceil(F.count("*").over(Window.partitionBy("set_id")) / chunk)).withColumn("chunk", F.pmod(F.xxhash64("needle"), F.col("chunks")))
+    met = sized.groupBy("set_id", "chunk").agg(F.collect_list("needle").alias("ns")).join(lines.hint("merge"), "set_id")
+    on = F.transform("ns", lambda n: F.struct(n.alias("needle"), F.filter("ls", lambda l: F.contains(l["line"], n)).alias("on")))
+    found = met.select("set_id", F.explode(on).alias("x")).select("set_id", "x.needle", F.size("x.on").cast("bigint").alias("value_lines"), "x.on").where("value_lines > 0")
+    few = F.transform("on", lambda v: F.struct(v["line_no"].alias("line_no"), v["governor"].alias("governor")))
+    return found.select("set_id", "needle", "value_lines", F.when(F.col("value_lines") <= MAX_VALUE_LINES, few).alias("vs"))
 
 
 def check_pairs(pairs: DataFrame, served: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -50,11 +67,8 @@ def check_pairs(pairs: DataFrame, served: DataFrame, tolerance: int = TOLERANCE)
     ruled = governing(lines, owners(hits))
     own = hits.groupBy("set_id", "label").agg(F.collect_list("line_no").alias("own"))
     each = pairs.groupBy("set_id", "label", "token").agg(F.count("*").alias("times")).withColumn("needle", N.digits_only(F.col("token")))
-    needles = each.select("set_id", "needle").where("needle != ''").distinct()
-    at = ruled.join(needles, "set_id").where(F.contains("line", F.col("needle")))
-    values = at.groupBy("set_id", "needle").agg(F.count("*").alias("value_lines"), F.array_sort(F.collect_list(F.struct("line_no", "governor"))).alias("vs"))
-    values = values.withColumn("vs", F.when(F.col("value_lines") <= MAX_VALUE_LINES, F.col("vs")))
-    j = each.join(own, ["set_id", "label"], "left").join(values, ["set_id", "needle"], "left")
+    values = value_lines(each.select("set_id", "needle").where("needle != ''").distinct(), ruled)
+    j = each.join(own.hint("merge"), ["set_id", "label"], "left").join(values.hint("merge"), ["set_id", "needle"], "left")
     above = lambda v: F.array_max(F.filter("own", lambda l: l <= v["line_no"]))
     good = F.exists("vs", lambda v: F.coalesce((v["governor"] == F.col("label")) & (v["line_no"] - above(v) <= max(tolerance, 1) * 20), F.lit(False)))
     state = F.when(F.col("own").isNull() | F.col("value_lines").isNull(), "unlocatable").when(F.col("value_lines") > MAX_VALUE_LINES, "ambiguous").when(good, "intact").otherwise("outranked")

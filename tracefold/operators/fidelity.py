@@ -35,7 +35,8 @@ def rate(part: Column, whole: Column, empty: float = 100.0) -> Column:
 
 def bag(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, token, n): canonical numbers of each text with their counts."""
-    return texts.select(*keys, F.explode(N.numeric_tokens(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    raw = texts.select(*keys, F.explode(N.raw_tokens(N.strip_furniture(F.col("text")))).alias("raw"))
+    return N.with_canonical(raw, "raw", "token").groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
 def compare_bags(native: DataFrame, served: DataFrame) -> DataFrame:
@@ -101,9 +102,12 @@ def row_label(cells: Column) -> Column:
 
 def row_pairs(grid: DataFrame, *keys: str) -> DataFrame:
     """(keys, label, token): each number of each cell that isn't its row's label; repeats are kept."""
-    rows = grid.select(*keys, "cells", row_label(F.col("cells")).alias("label")).where("label IS NOT NULL")
-    tokens = F.flatten(F.transform(F.filter("cells", lambda c: T.strip(c) != F.col("label")), N.cell_tokens))
-    return rows.select(*keys, "label", F.explode(tokens).alias("token"))
+    rows = grid.select(*keys, "cells", row_label(F.col("cells")).alias("label"))
+    # No filter on the label alone: it would be pushed beneath exchanges, and the label made once more there.
+    other = F.coalesce(T.strip(F.col("cell")) != F.col("label"), F.lit(False))
+    cells = rows.select(*keys, "label", F.explode_outer("cells").alias("cell")).where(other)
+    raw = cells.select(*keys, "label", F.explode(N.raw_tokens(F.col("cell"))).alias("raw"))
+    return N.with_canonical(raw, "raw", "token")
 
 
 def collapse_adjacent(cells: Column) -> Column:
@@ -118,10 +122,17 @@ def grid_text(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def workpaper_yield(pairs: DataFrame, served_bag: DataFrame) -> DataFrame:
-    """Workbooks whose values cover enough of a set's distinct numbers; ``folded`` marks the best of each set."""
-    total = served_bag.groupBy("set_id").agg(F.count("*").alias("served_values"))
-    hit = pairs.join(served_bag.select("set_id", "token"), ["set_id", "token"], "left_semi").groupBy("set_id", "workbook").agg(F.count("*").alias("pairs"), F.countDistinct("token").alias("covered"))
-    out = hit.join(total, "set_id").withColumn("yield", F.col("covered") / F.greatest(F.col("served_values"), F.lit(1)))
+    """Workbooks whose values cover enough of a set's distinct numbers; ``folded`` marks the best of each set.
+
+    Pairs and served numbers go through one exchange, on the set.
+    """
+    mine = pairs.groupBy("set_id", "token", "workbook").agg(F.count("*").alias("n"))
+    shown = served_bag.select("set_id", "token", F.lit(None).cast("string").alias("workbook"), F.lit(0).cast("bigint").alias("n"))
+    met = Window.partitionBy("set_id", "token")
+    both = mine.unionByName(shown).repartition("set_id").withColumn("served", F.max(F.col("workbook").isNull()).over(met)).where("served")
+    counted = both.groupBy("set_id", "workbook").agg(F.sum("n").alias("pairs"), F.count("*").alias("covered"))
+    counted = counted.withColumn("served_values", F.max(F.when(F.col("workbook").isNull(), F.col("covered"))).over(Window.partitionBy("set_id"))).where("workbook IS NOT NULL")
+    out = counted.withColumn("yield", F.col("covered") / F.greatest(F.col("served_values"), F.lit(1))).select("set_id", "workbook", "pairs", "covered", "served_values", "yield")
     w = Window.partitionBy("set_id").orderBy(F.desc("yield"), "workbook")
     return out.where(F.col("yield") >= YIELD_FLOOR).withColumn("folded", F.row_number().over(w) == 1)
 

@@ -10,7 +10,8 @@ from tracefold.functions import triage as R
 
 def triage(filings: DataFrame, item_type: str = "item_type", description: str = "description", party: str = "party") -> DataFrame:
     """Adds include, reason and matched_rule."""
-    return filings.withColumn("_v", R.evaluate(F.col(item_type), F.col(description), F.col(party))).select(*filings.columns, "_v.include", "_v.reason", "_v.matched_rule")
+    normal = filings.withColumn("_t", R.normalize_description(F.col(description)))
+    return normal.withColumn("_v", R.evaluate(F.col(item_type), F.col("_t"), F.col(party))).select(*filings.columns, "_v.include", "_v.reason", "_v.matched_rule")
 
 
 def summarize(judged: DataFrame) -> DataFrame:

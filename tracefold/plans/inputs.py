@@ -121,7 +121,9 @@ SETS_SQL = GRID_SQL + f",\nnative_sets AS (SELECT set_id, string_agg({_NATIVE},
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_GRID.replace("{fmt}", "format_number(l_extendedprice, 2)"), lineitem=table(spark, sf, "lineitem"))
+    """One exchange, on the set, serves both renderings, the pairs and all that is measured on sets."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.expr("CAST(floor(l_orderkey / 8) AS BIGINT)").alias("set_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "set_id")
+    return spark.sql(_GRID.replace("{fmt}", "format_number(l_extendedprice, 2)").replace("CAST(floor(l_orderkey / 8) AS BIGINT) AS set_id", "set_id"), lineitem=rows)
 
 
 def grid_rows(spark: SparkSession, sf: str) -> DataFrame:

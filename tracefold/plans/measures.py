@@ -84,9 +84,11 @@ hit AS (SELECT p.set_id, workbook, count(*) AS pairs, count(DISTINCT p.token) AS
 rated AS (SELECT h.*, served_values, covered / CAST(greatest(served_values, 1) AS DOUBLE) AS yield FROM hit h JOIN totals t ON t.set_id = h.set_id)
 SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY yield DESC, workbook) = 1 AS folded FROM rated WHERE yield >= 0.25""")
 def workpaper_yield(spark: SparkSession, sf: str) -> DataFrame:
-    g = I.grid_rows(spark, sf).select("set_id", "l_partkey", "cells")
-    books = g.withColumn("workbook", F.lit("own.xlsx")).unionByName(g.where("l_partkey % 2 = 0").withColumn("workbook", F.lit("half.xlsx"))).unionByName(g.withColumn("set_id", F.col("set_id") + 1).withColumn("workbook", F.lit("other.xlsx")))
-    return V.workpaper_yield(V.row_pairs(books, "set_id", "workbook"), V.bag(I.served_sets(spark, sf), "set_id"))
+    parsed = V.row_pairs(I.grid_rows(spark, sf), "set_id", "l_partkey")
+    book = lambda name, shift, when=None: F.struct((F.col("set_id") + shift).alias("set_id"), (F.when(when, F.lit(name)) if when is not None else F.lit(name)).alias("workbook"))
+    books = F.array(book("own.xlsx", 0), book("half.xlsx", 0, F.col("l_partkey") % 2 == 0), book("other.xlsx", 1))
+    pairs = parsed.select(F.explode(books).alias("b"), "label", "token").select("b.set_id", "b.workbook", "label", "token").where("workbook IS NOT NULL")
+    return V.workpaper_yield(pairs, V.bag(I.served_sets(spark, sf), "set_id"))
 
 
 # Natives of each document: the whole text, its first half, and the text of the document after it, each with figures of the grid.

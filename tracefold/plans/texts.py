@@ -32,7 +32,7 @@ def num_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_RAW},\nforms AS (SELECT DISTINCT raw FROM found),\n{I.canonical_sql('forms', 'raw AS r', 'canon').replace('raw AS r, raw,', 'raw,').replace('SELECT raw AS r, CASE', 'SELECT raw, CASE')}\nSELECT raw, token FROM canon")
 def num_canon(spark: SparkSession, sf: str) -> DataFrame:
     raw = I.texts(spark, sf).select(F.explode(N.raw_tokens(N.strip_furniture(F.col("text")))).alias("raw")).distinct()
-    return raw.select("raw", N.canonical(F.col("raw")).alias("token"))
+    return N.with_canonical(raw.withColumn("form", F.col("raw")), "form", "token").select("raw", "token")
 
 
 @query(f"WITH {I.TEXTS_SQL} SELECT kind, id, {I.bare_sql('text')} AS bare, length(text) - length({I.bare_sql('text')}) AS n_removed FROM texts")
