@@ -37,3 +37,33 @@ def test_odd_vectors(spark):
 def test_rates_of_nothing_are_zero(spark):
     r = R.refusal_rates(spark.createDataFrame([], "answerable BOOLEAN, refused BOOLEAN")).first()
     assert r.refusal_rate == 0 and r.false_refusal_rate == 0
+
+
+def test_similarity_same_as_plain_edit_distance(spark):
+    from pyspark.sql import functions as F
+
+    from tracefold.operators import retrieval as R
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("modern  Rates", "rnodern rates"), ("é", "e"), ("", ""), ("", "x"), ("rates", "all the Rates\n here"), ("Größe", "Grosse"), ("abc", "")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a STRING, b STRING").select(R.span_similarity(F.col("a"), F.col("b"))).collect()]
+    for (a, b), s in zip(pairs, got):
+        a, b = (" ".join(x.lower().split()) for x in (a, b))
+        assert abs(s - (1 if a in b else 1 - distance(a, b) / max(len(a), len(b), 1))) < 1e-12
+
+
+def test_forms_of_one_value(spark):
+    from pyspark.sql import functions as F
+
+    from tracefold.operators import retrieval as R
+
+    texts = ["$1.2 billion or 1,200,000,000 or 1.2B or 1.2bn", "10.4% or 10.4 percent or .104", "(1,234) or -1234", "5 million people, 7 Kings, 3 blue", None, "none"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t STRING").select(R.quantities(F.col("t"))).collect()]
+    assert got == [[1.2e9], [0.104], [-1234.0], [5e6, 7.0, 3.0], None, []]

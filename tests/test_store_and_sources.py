@@ -70,7 +70,7 @@ def test_manifests(spark, tmp_path):
     assert S.read_prior(spark, f"file://{tmp_path}/none.json") is None
     (tmp_path / "broken.json").write_text('{"items": [')
     with pytest.raises(Exception):
-        S.read_prior(spark, f"file://{tmp_path}/broken.json").collect()
+        S.read_prior(spark, f"file://{tmp_path}/broken.json")[0].collect()
 
 
 def test_served_folder(spark, tmp_path):
@@ -145,3 +145,46 @@ def test_event_windows(spark):
     events = spark.createDataFrame([(t, "a", 1.0), (t + dt.timedelta(seconds=1), "a", 2.0), (t, "b", None)], "ts TIMESTAMP, event_type STRING, value DOUBLE")
     got = {(r.window_start.hour, r.event_type): (r.n, r.total) for r in streaming.event_windows(events).select(F.col("window_start"), "event_type", "n", "total").collect()}
     assert len(got) == 3 and (1, 2.0) in got.values() and (1, None) in got.values()
+
+
+def test_last_entry_of_a_name_counts(spark, tmp_path):
+    (tmp_path / "flat.json").write_text(json.dumps([{"filename": "a.pdf", "description": "first", "page_offset": 1}, {"filename": "b.pdf"}, {"filename": "a.pdf", "description": "last"}, {"description": "no name"}]))
+    got = {r.filename: (r.description, r.page_offset) for r in S.read_manifest(spark, f"{tmp_path}/flat.json").collect()}
+    assert got == {"a.pdf": ("last", None), "b.pdf": (None, None)}
+    items = [{"item_number": 1, "selection_note": "item", "sets": [{"set_id": "s", "status": "operative", "documents": [{"filename": "a.pdf", "page_offset": 1}]}, {"set_id": "t", "documents": []}]}, {"item_number": 2, "sets": [{"set_id": "s", "status": None, "documents": [{"filename": "a.pdf"}, {"filename": None}]}]}]
+    (tmp_path / "nested.json").write_text(json.dumps({"items": items}))
+    got = {r.filename: (r.item_number, r.page_offset, r.selection_note) for r in S.read_manifest(spark, f"{tmp_path}/nested.json").collect()}
+    assert got == {"a.pdf": (2, None, None)}
+    sets, docs = S.read_prior(spark, f"file://{tmp_path}/nested.json")
+    assert {r.set_id: r.status for r in sets.collect()} == {"s": None, "t": None}  # one without documents is kept
+    assert {r.filename: r.page_offset for r in docs.collect()} == {"a.pdf": None}
+    sets, docs = S.read_prior(spark, f"file://{tmp_path}/flat.json")
+    assert sets.count() == 0 and {r.filename: r.description for r in docs.collect()} == {"a.pdf": "last", "b.pdf": None}
+
+
+def test_folder_source(spark, tmp_path):
+    for name in ("70001_3_9.pdf", "40000_3_9.pdf", "notes.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "manifest.json").write_text(json.dumps([{"filename": "70001_3_9.pdf", "page_offset": 4}]))
+    source = S.FolderSource(spark, f"file://{tmp_path}")
+    listed = source.list_documents("70001")
+    assert [(r.filename, r.page_offset) for r in listed.collect()] == [("70001_3_9.pdf", 4)]
+    assert [bytes(r.content) for r in source.fetch(listed).collect()] == [b"70001_3_9.pdf"]
+
+
+def test_ingest_twice_is_ingest_once(spark):
+    docs = spark.createDataFrame([(1, "u1", "h1"), (2, "u2", "h2")], "doc_id BIGINT, source_url STRING, sha256 STRING")
+    texts = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id BIGINT, text STRING")
+    anchors = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "doc_id BIGINT, page_no INT")
+    dockets = spark.createDataFrame([(7, "title")], "docket INT, title STRING")
+    new = {"dockets": dockets, "documents": docs, "texts": texts, "anchors": anchors}
+    once = D.ingest({k: v.limit(0) for k, v in new.items()}, new)
+    assert D.dry_run(once).first().asDict() == {"documents": 2, "reextracted": 2, "unchanged": 0, "texts": 2}
+    again = D.ingest(once | {"documents": once["documents"].drop("changed")}, new | {"documents": docs.withColumn("source_url", F.lit("moved"))})
+    assert D.dry_run(again).first().asDict() == {"documents": 2, "reextracted": 0, "unchanged": 2, "texts": 0}
+    for t in ("dockets", "texts", "anchors"):
+        assert sorted(map(tuple, again[t].collect())) == sorted(map(tuple, new[t].collect()))
+    assert {r.source_url for r in again["documents"].collect()} == {"u1", "u2"}
+    changed = spark.createDataFrame([(2, "u2", "other")], "doc_id BIGINT, source_url STRING, sha256 STRING")
+    last = D.ingest(once | {"documents": once["documents"].drop("changed")}, new | {"documents": changed, "texts": texts.where("doc_id = 2").withColumn("text", F.lit("new")), "anchors": anchors.limit(0)})
+    assert {(r.doc_id, r.text) for r in last["texts"].collect()} == {(1, "one"), (2, "new")} and [r.doc_id for r in last["anchors"].collect()] == [1]

@@ -29,7 +29,7 @@ def raw_tokens(text: Column) -> Column:
 
 def canonical(token: Column) -> Column:
     """Separators, currency and needless zeros go; a minus or both brackets make it negative; zero has no sign."""
-    digits = F.translate(token, F.lit(DRESS), F.lit(""))
+    digits = F.translate(token, DRESS, "")
     whole = F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))
     whole = F.when(whole == "", "0").otherwise(whole)
     rest = F.when(digits.contains("."), F.rtrim(F.substring_index(digits, ".", -1), F.lit("0"))).otherwise("")

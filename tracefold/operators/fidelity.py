@@ -72,6 +72,11 @@ def missing(compared: DataFrame) -> DataFrame:
     return compared.where("deficit > 0").select("set_id", "token", "deficit", F.row_number().over(w).alias("place"))
 
 
+def report(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in order, as reports for people show them: 40 figures or pairs, 10 candidates, 6 natives. Each task keeps n rows of its own."""
+    return rows.orderBy(*order).limit(n)
+
+
 def compare_words(native: DataFrame, served: DataFrame, *more: str) -> DataFrame:
     """Word types of (set_id, text) on both sides: accuracy against the native, containment of the served."""
     a = native.select("set_id", *more, T.word_types(F.col("text")).alias("nw"))

@@ -67,6 +67,11 @@ def anchor_coverage(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.groupBy(key).agg(*counts)
 
 
+def with_weak_total(coverage: DataFrame) -> DataFrame:
+    """Coverage rows, each with the pages of all that have the weakest anchor."""
+    return coverage.crossJoin(F.broadcast(coverage.agg(F.coalesce(F.sum("pdf_page"), F.lit(0)).alias("weak_total"))))
+
+
 def resolve_offsets(offsets: DataFrame, spans: DataFrame, page_offset: Column | None = None) -> DataFrame:
     """The page, filing page and anchor of each (doc_id, offset); nulls outside the document."""
     s = spans.select(F.col("doc_id").alias("d"), "page_no", "char_start", "char_end", "anchor_scheme", "anchor_value")

@@ -82,3 +82,51 @@ def span_supported(claim: Column, source: Column, start: Column, end: Column) ->
     """Whether the claim's words stand in its span, white space and case aside."""
     plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " "))
     return F.contains(plain(F.substring(source, start + 1, end - start)), plain(claim))
+
+
+#: A number as it stands in prose, with what scales it: words of size, letters of size, or a share in hundredths.
+QUANTITY = r"(?i)\(?\$?-?(?:[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)\)?\s?(?:%|(?:percent|pct|billion|bn|b|million|mn|m|thousand|k)\b)?"
+SCALES = (("billion|bn|b", 1e9), ("million|mn|m", 1e6), ("thousand|k", 1e3), ("percent|pct|%", 0.01))
+
+
+def quantities(text: Column) -> Column:
+    """The values of all numbers in a text: ``$1.2 billion``, ``1.2B`` and ``1,200,000,000`` are one value, as are ``10.4%``, ``10.4 percent`` and ``.104``."""
+
+    def value(raw: Column) -> Column:
+        size = F.regexp_extract(raw, r"([A-Za-z%]+)$", 1)
+        scale = F.lit(1.0)
+        for words, by in SCALES:
+            scale = F.when(size.rlike(f"(?i)^({words})$"), F.lit(by)).otherwise(scale)
+        negative = raw.contains("-") | (raw.contains("(") & raw.contains(")"))
+        digits = F.regexp_replace(raw, "[^0-9.]", "").cast("double")
+        return F.round(F.when(negative, -digits).otherwise(digits) * scale, 6)
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0)), value))
+
+
+def untraceable(answer: Column, context: Column) -> Column:
+    """The values of an answer that its cited context doesn't hold; null texts hold none."""
+    none = F.array().cast("array<double>")
+    return F.array_except(F.coalesce(quantities(answer), none), F.coalesce(quantities(context), none))
+
+
+def span_similarity(claim: Column, span: Column) -> Column:
+    """1 less the edit distance of both, white space and case aside, by the longer one; 1 for what stands in the span word for word."""
+    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " "))
+    a, b = plain(claim), plain(span)
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(F.contains(b, a), 1.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(longer, F.lit(1)))
+
+
+def refusal(similarity: Column, declined: Column, failed_share: Column, untraced: Column, least_similarity: float = 0.3, most_failed: float = 0.2) -> Column:
+    """Why an answer is refused, null if it isn't: no context, the model's own word, claims that fail, a number without a source; the first that holds."""
+    out = F.when(F.coalesce(similarity, F.lit(0.0)) < least_similarity, "no_relevant_context").when(declined, "model_declined")
+    return out.when(failed_share > most_failed, "verification_failed").when(untraced > 0, "untraceable_numeric")
+
+
+def numeric_accuracy(answers: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Of (given, expected, cost): how many numbers are right within the tolerance, and the cost a query. A missing number is wrong."""
+    right = F.coalesce(F.abs(F.col("given") - F.col("expected")) <= F.abs(F.col("expected")) * tolerance, F.lit(False))
+    counts = answers.agg(F.count("*").alias("queries"), F.count_if(right).alias("right"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("queries").cast("double")), F.lit(0.0))
+    return counts.select("queries", "right", share("right").alias("numeric_accuracy"), share("cost").alias("cost_per_query"))

@@ -58,6 +58,27 @@ def replace_by_key(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def ingest(stored: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after an ingest, from those stored and new: dockets, documents (doc_id, source_url, sha256), texts and anchors (doc_id, ...).
+
+    Dockets are inserted and never updated. A document keeps its first ``source_url``; ``changed`` tells the new ones and
+    those of another digest, and texts and anchors are replaced for these alone. ``SnapshotStore.commit`` writes the result; ``dry_run`` counts it.
+    """
+    plain = [c for c in new["dockets"].columns if c != "docket"]
+    acts = change_actions(stored["documents"], new["documents"], ("doc_id",)).select("doc_id", (F.col("action") != "unchanged").alias("changed"))
+    changed = acts.where("changed").select("doc_id")
+    documents = upsert(stored["documents"], new["documents"], ("doc_id",), frozen=("source_url",)).join(acts, "doc_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    fresh = lambda t: new[t].join(changed, "doc_id", "left_semi")
+    # A changed document loses its old rows also where it has no new ones.
+    kept = lambda t: stored[t].join(changed, "doc_id", "left_anti")
+    return {"dockets": upsert(stored["dockets"], new["dockets"], ("docket",), frozen=tuple(plain)), "documents": documents, **{t: kept(t).unionByName(fresh(t)) for t in ("texts", "anchors")}}
+
+
+def dry_run(tables: dict[str, DataFrame]) -> DataFrame:
+    """The counts of an ingest's tables, which are not written."""
+    return tables["documents"].agg(F.count("*").alias("documents"), F.count_if("changed").alias("reextracted"), F.count_if(~F.col("changed")).alias("unchanged")).withColumn("texts", F.col("reextracted"))
+
+
 def policy_violations(sets: DataFrame) -> DataFrame:
     """Sets of unknown status, and undetermined sets that can be retrieved."""
     problem = F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status").when((F.col("status") == "undetermined") & F.col("retrieval_eligible"), "undetermined but retrievable")
@@ -107,7 +128,10 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/{at}") if at else None
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables aside, then names them in one new commit; a commit made by others meanwhile raises."""
+        """Writes all tables aside, then names them in one new commit; a commit made by others meanwhile raises.
+
+        Of two writers at the same moment one is refused on file systems whose rename doesn't overwrite, as that of HDFS.
+        """
         n, new = self._latest(), self.pointers()
         for name, df in tables.items():
             at = f"{name}/{uuid.uuid4().hex}"

@@ -185,24 +185,42 @@ def manifest_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return M.flatten(_items(spark, sf))
 
 
-@query(f"WITH {_RUNS}\nSELECT count(DISTINCT (control_number, item_number)) AS items, count(DISTINCT set_id) AS sets, count(*) AS documents, CAST(0 AS BIGINT) AS awaiting, count(DISTINCT set_id) FILTER (n_parts > 1) AS multipart FROM sets")
-def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return M.counts(_items(spark, sf))
+_PRIOR = "prior AS (SELECT DISTINCT set_id, CASE WHEN item_number % 4 = 1 THEN 'operative' END AS status, CASE WHEN item_number % 4 = 1 THEN TRUE END AS retrieval_eligible, CASE WHEN item_number % 4 = 2 THEN 'kept' END AS selection_note FROM sets WHERE item_number % 2 = 1 OR item_number % 4 = 2)"
 
 
-_PRIOR = "prior AS (SELECT DISTINCT set_id, CASE WHEN item_number % 4 = 1 THEN 'operative' END AS status, CASE WHEN item_number % 4 = 1 THEN TRUE END AS retrieval_eligible, CASE WHEN item_number % 4 = 2 THEN 'kept' END AS selection_note FROM sets WHERE item_number % 2 = 1 OR item_number % 4 = 2)"
+def _prior_items(spark: SparkSession, sf: str) -> DataFrame:
+    """An earlier manifest, nested; some of its sets have no documents any more."""
+    said = spark.sql(f"WITH {_PRIOR.replace('FROM sets', 'FROM {sets}').replace('DISTINCT set_id', 'DISTINCT item_number, set_id')} SELECT * FROM prior", sets=S.document_sets(_refs(spark, sf)))
+    none = F.array().cast("array<struct<filename:string,page_offset:int,description:string>>")
+    one = F.array(F.struct(F.concat("set_id", F.lit(".pdf")).alias("filename"), F.col("item_number").alias("page_offset"), F.lit(None).cast("string").alias("description")))
+    s = F.struct("set_id", "status", "retrieval_eligible", "selection_note", F.when(F.col("item_number") % 4 == 2, none).otherwise(one).alias("documents"))
+    return said.groupBy("item_number").agg(F.array_sort(F.collect_list(F.struct(F.col("set_id").alias("k"), s.alias("s")))).alias("x")).select("item_number", F.transform("x", lambda x: x["s"]).alias("sets"))
 
 
 def _prior(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(f"WITH {_PRIOR.replace('FROM sets', 'FROM {sets}')} SELECT * FROM prior", sets=S.document_sets(_refs(spark, sf)))
+    return M.prior_sets(_prior_items(spark, sf))
 
 
 @query(f"WITH {_RUNS},\n{_PRIOR}\nSELECT set_id, status, retrieval_eligible, selection_note FROM prior")
 def manifest_prior(spark: SparkSession, sf: str) -> DataFrame:
-    """Earlier assertions by set."""
+    """What an earlier manifest asserts of each set, sets without documents included."""
     return _prior(spark, sf)
 
 
+@query(f"WITH {_RUNS}\nSELECT filename, coalesce(CASE WHEN item_number % 4 = 0 THEN item_number END, 0) AS page_offset, 'fresh' AS description, item_number % 4 = 0 AS carried FROM sets")
+def carry_over_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Regenerated documents keep the page offsets that people have put in."""
+    fresh = _refs(spark, sf).select("filename", F.lit(0).alias("page_offset"), F.lit("fresh").alias("description"))
+    return M.carry_over(fresh, M.prior_documents(_items(spark, sf)), "filename", M.KEPT_DOC_FIELDS)
+
+
+@query(f"WITH {_RUNS},\n{_PRIOR},\nheld AS (SELECT * FROM sets WHERE item_number % 9 <> 0)\nSELECT (SELECT count(DISTINCT (control_number, item_number)) FROM sets) AS items, count(DISTINCT set_id) AS sets, count(*) AS documents, (SELECT count(DISTINCT (control_number, item_number)) FROM sets WHERE item_number % 9 = 0) AS awaiting, count(DISTINCT set_id) FILTER (n_parts > 1) AS multipart, (SELECT count(*) FROM prior WHERE coalesce(status, CAST(retrieval_eligible AS VARCHAR), selection_note) IS NOT NULL) AS carried FROM held")
+def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a manifest of which every ninth item awaits its sets."""
+    items = _items(spark, sf)
+    return M.counts(items.withColumn("sets", F.when(F.col("item_number") % 9 != 0, F.col("sets"))), carry_over(spark, sf))
+
+
 @query(f"WITH {_RUNS},\n{_PRIOR}\nSELECT f.set_id, coalesce(p.status, 'undetermined') AS status, p.retrieval_eligible, p.selection_note, coalesce(p.status, CAST(p.retrieval_eligible AS VARCHAR), p.selection_note) IS NOT NULL AS carried FROM (SELECT DISTINCT set_id FROM sets) f LEFT JOIN prior p ON p.set_id = f.set_id")
 def carry_over(spark: SparkSession, sf: str) -> DataFrame:
     """Regenerated sets keep what people have asserted on them."""
@@ -242,10 +260,56 @@ def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
     return D.ingest_counts(d.select("source").distinct(), d.select("source", "lang").distinct(), acts, anchors)
 
 
-@query(_COUNTS, name="ingest_dry_run")
+def _stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """A store that lacks every fifth document and holds an old text of every ninth."""
+    old = spark.sql(f"WITH {_STORED} SELECT * FROM stored", documents=table(spark, sf, "documents"))
+    return {
+        "dockets": table(spark, sf, "region").where("r_regionkey < 3").selectExpr("r_regionkey AS docket", "concat('kept ', r_name) AS title"),
+        "documents": old.select("doc_id", F.concat(F.lit("old://"), "doc_id").alias("source_url"), names.content_hash(F.col("text")).alias("sha256")),
+        "texts": old.select("doc_id", "text"),
+        "anchors": old.select("doc_id", F.lit(1).alias("page_no"), F.lit("old").alias("anchor")),
+    }
+
+
+def _ingested(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    d = table(spark, sf, "documents")
+    new = {
+        "dockets": table(spark, sf, "region").selectExpr("r_regionkey AS docket", "r_name AS title"),
+        "documents": d.select("doc_id", F.concat(F.lit("new://"), "doc_id").alias("source_url"), names.content_hash(F.col("text")).alias("sha256")),
+        "texts": d.select("doc_id", "text"),
+        "anchors": I.pages(spark, sf).select("doc_id", "page_no", F.lit("new").alias("anchor")),
+    }
+    return D.ingest(_stored(spark, sf), new)
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS docket, CASE WHEN r_regionkey < 3 THEN 'kept ' || r_name ELSE r_name END AS title FROM region")
+def insert_dockets(spark: SparkSession, sf: str) -> DataFrame:
+    """Dockets are put in once and never changed."""
+    return _ingested(spark, sf)["dockets"].select(F.col("docket").cast("bigint").alias("docket"), "title")
+
+
+@query(_ACTS + " SELECT doc_id, CASE WHEN action = 'insert' THEN 'new://' || doc_id ELSE 'old://' || doc_id END AS source_url, sha256, action <> 'unchanged' AS changed FROM acts")
+def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests are brought up to date, the first source stays, and what changed is told."""
+    return _ingested(spark, sf)["documents"]
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS n FROM documents")
+def upsert_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts are written for changed documents only; then all are the new ones."""
+    return _ingested(spark, sf)["texts"].select("doc_id", names.content_hash(F.col("text")).alias("sha256"), F.length("text").cast("bigint").alias("n"))
+
+
+@query(_ACTS + f", news AS (SELECT doc_id, CAST(unnest(range(1, CAST(ceil(len(string_split(text, chr(10))) / {I.LINES_A_PAGE}.0) AS INT) + 1)) AS INT) AS page_no, 'new' AS anchor FROM documents) SELECT n.* FROM news n JOIN acts a ON a.doc_id = n.doc_id AND action <> 'unchanged' UNION ALL SELECT doc_id, CAST(1 AS INT), 'old' FROM acts WHERE action = 'unchanged'")
+def replace_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed documents get new anchors in place of theirs, the others keep them."""
+    return _ingested(spark, sf)["anchors"]
+
+
+@query(_ACTS + " SELECT count(*) AS documents, count(*) FILTER (action <> 'unchanged') AS reextracted, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action <> 'unchanged') AS texts FROM acts")
 def ingest_dry_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The counts of an ingest that writes nothing."""
-    return ingest_counts(spark, sf)
+    """What an ingest would write: its own tables, counted and not committed."""
+    return D.dry_run(_ingested(spark, sf))
 
 
 @query("WITH known AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderdate AS d, CASE WHEN o_orderkey % 3 = 0 THEN 'old party' END AS party, 'T' || (o_orderkey % 4) AS item_type FROM orders WHERE o_orderkey % 4 <> 0), fresh AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS d, CASE WHEN o_orderkey % 5 = 0 THEN 'new party' END AS party, 'N' || (o_orderkey % 4) AS item_type FROM orders WHERE o_orderkey % 3 <> 1) SELECT coalesce(a.k, b.k) AS item_number, CASE WHEN a.k IS NULL THEN b.d ELSE coalesce(b.d, a.d) END AS filing_date, CASE WHEN a.k IS NULL THEN b.party ELSE coalesce(b.party, a.party) END AS filing_party, CASE WHEN a.k IS NULL THEN b.item_type ELSE a.item_type END AS item_type FROM known a FULL JOIN fresh b ON a.k = b.k")

@@ -114,7 +114,8 @@ _GRID = f"""SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS set_id, l_orderkey *
   CAST(CAST(l_quantity AS BIGINT) AS STRING) AS qty, {{fmt}} AS price, CAST(CAST(round(l_discount * 100) AS INT) AS STRING) AS disc, CAST(CAST(round(l_tax * 100) AS INT) AS STRING) AS tax FROM {{lineitem}}"""
 _CELLS = "label, qty, concat('$', price), concat('(', disc, ')'), concat(tax, '%')"
 _NATIVE = "concat(label, chr(9), qty, chr(9), '$', price, chr(9), '(', disc, ')', chr(9), tax, '%')"
-_SHOWN = f"""CASE WHEN l_partkey % 13 = 0 THEN label WHEN l_partkey % 11 = 0 THEN concat(label, {NL}, qty, {NL}, '$', {NL}, price, {NL}, disc, {NL}, tax, '%') WHEN l_partkey % 17 = 0 THEN concat(qty, ' ', price, {NL}, label, {NL}, '14', {NL}, '(', disc, ')', {NL}, tax, '%')
+# Every fifth set is served without faults.
+_SHOWN = f"""CASE WHEN set_id % 5 = 0 THEN {_NATIVE} WHEN l_partkey % 13 = 0 THEN label WHEN l_partkey % 11 = 0 THEN concat(label, {NL}, qty, {NL}, '$', {NL}, price, {NL}, disc, {NL}, tax, '%') WHEN l_partkey % 17 = 0 THEN concat(qty, ' ', price, {NL}, label, {NL}, '14', {NL}, '(', disc, ')', {NL}, tax, '%')
   ELSE concat(label, {NL}, qty, {NL}, '$', {NL}, price, {NL}, '(', disc, ')', {NL}, tax, '%') END"""
 GRID_SQL = "grid AS (" + _GRID.format(fmt="format('{:,.2f}', l_extendedprice)", lineitem="lineitem") + f"),\ngrid_rows AS (SELECT set_id, row_no, l_partkey, label, [{_CELLS}] AS cells FROM grid)"
 SETS_SQL = GRID_SQL + f",\nnative_sets AS (SELECT set_id, string_agg({_NATIVE}, {NL} ORDER BY row_no, {_NATIVE}) AS text FROM grid GROUP BY set_id),\nserved_sets AS (SELECT set_id, string_agg({_SHOWN}, {NL} ORDER BY row_no, {_SHOWN}) AS text FROM grid GROUP BY set_id)"
@@ -145,13 +146,14 @@ def served_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- native and served prose, from documents ---
 
-PROSE_SQL = f"prose AS (SELECT doc_id AS set_id, text AS native_text, CASE WHEN doc_id % 10 = 3 THEN reverse(text) WHEN doc_id % 10 = 7 THEN substring(text, 1, CAST(floor(length(text) / 4) AS INT)) ELSE array_to_string(list_filter(string_split(text, {NL}), lambda x, i: (i - 1 + doc_id) % 6 <> 2), {NL}) END AS served_text FROM documents)"
+PROSE_SQL = f"prose AS (SELECT doc_id AS set_id, text AS native_text, CASE WHEN doc_id % 10 = 3 THEN reverse(text) WHEN doc_id % 10 = 7 THEN substring(text, 1, CAST(floor(length(text) / 4) AS INT)) WHEN doc_id % 10 = 9 THEN concat(substring(text, 1, CAST(floor(length(text) / 4) AS INT)), ' ', reverse(substring(text, 1, CAST(floor(length(text) / 10) AS INT)))) ELSE array_to_string(list_filter(string_split(text, {NL}), lambda x, i: (i - 1 + doc_id) % 6 <> 2), {NL}) END AS served_text FROM documents)"
 
 
 def prose(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: (i + F.col("doc_id")) % 6 != 2), "\n")
-    served_text = F.when(F.col("doc_id") % 10 == 3, F.reverse("text")).when(F.col("doc_id") % 10 == 7, F.expr("substring(text, 1, CAST(floor(length(text) / 4) AS INT))")).otherwise(kept)
+    served_text = F.when(F.col("doc_id") % 10 == 3, F.reverse("text")).when(F.col("doc_id") % 10 == 7, F.expr("substring(text, 1, CAST(floor(length(text) / 4) AS INT))"))
+    served_text = served_text.when(F.col("doc_id") % 10 == 9, F.expr("concat(substring(text, 1, CAST(floor(length(text) / 4) AS INT)), ' ', reverse(substring(text, 1, CAST(floor(length(text) / 10) AS INT))))")).otherwise(kept)
     return d.select(F.col("doc_id").alias("set_id"), F.col("text").alias("native_text"), served_text.alias("served_text"))
 
 

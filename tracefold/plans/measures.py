@@ -254,6 +254,49 @@ def span_check(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", here.alias("claimed_here"), R.span_supported(claim, F.col("text"), F.lit(5), F.lit(85)).alias("supported"))
 
 
+_CLAIMS = "claims AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('It rose to $', CAST(o_custkey AS STRING), '.5 million, or ', CAST(o_custkey % 50 AS STRING), ' percent.') WHEN 1 THEN concat('A cut of (', CAST(o_custkey AS STRING), ') thousand') WHEN 2 THEN 'No figure is named.' WHEN 3 THEN concat('About ', CAST(o_custkey AS STRING), 'K in 2018') ELSE concat('Exactly ', CAST(o_custkey + 1 AS STRING)) END AS answer, concat('The total is ', CAST(CAST(o_custkey AS BIGINT) * 1000000 + 500000 AS STRING), '; the share ', CAST(o_custkey % 50 AS STRING), '% in 2018, less -', CAST(CAST(o_custkey AS BIGINT) * 1000 AS STRING), ' and ', CAST(o_custkey AS STRING)) AS context FROM {orders})"
+_VALUES = "round((CASE WHEN contains(raw, '-') OR (contains(raw, '(') AND contains(raw, ')')) THEN -1 ELSE 1 END) * CAST(regexp_replace(raw, '[^0-9.]', '', 'g') AS DOUBLE) * CASE WHEN regexp_matches(lower(raw), '(billion|bn|b)$') THEN 1e9 WHEN regexp_matches(lower(raw), '(million|mn|m)$') THEN 1e6 WHEN regexp_matches(lower(raw), '(thousand|k)$') THEN 1e3 WHEN regexp_matches(lower(raw), '(percent|pct|%)$') THEN 0.01 ELSE 1 END, 6)"
+
+
+@query(f"WITH {_CLAIMS.format(orders='orders')},\nraws AS (SELECT id, 'a' AS side, unnest(regexp_extract_all(answer, '{R.QUANTITY}')) AS raw FROM claims UNION ALL SELECT id, 'c', unnest(regexp_extract_all(context, '{R.QUANTITY}')) FROM claims),\nvals AS (SELECT DISTINCT id, side, {_VALUES} AS v FROM raws)\nSELECT c.id, (SELECT count(*) FROM vals v WHERE v.id = c.id AND side = 'a') AS figures, (SELECT count(*) FROM vals v WHERE v.id = c.id AND side = 'a' AND NOT EXISTS (SELECT 1 FROM vals w WHERE w.id = v.id AND w.side = 'c' AND w.v = v.v)) AS untraced FROM claims c")
+def numeric_check(spark: SparkSession, sf: str) -> DataFrame:
+    """How many figures each answer names, and how many of them its context doesn't hold in any form."""
+    c = spark.sql(f"WITH {_CLAIMS} SELECT * FROM claims", orders=table(spark, sf, "orders"))
+    return c.select("id", F.size(R.quantities(F.col("answer"))).cast("bigint").alias("figures"), F.size(R.untraceable(F.col("answer"), F.col("context"))).cast("bigint").alias("untraced"))
+
+
+_QUOTES = "quotes AS (SELECT doc_id, substring(text, 11, 60) AS span, CASE doc_id % 3 WHEN 0 THEN substring(text, 11, 60) WHEN 1 THEN concat(substring(text, 11, 20), 'rn', substring(text, 33, 38)) ELSE 'words that nobody wrote' END AS claim FROM {documents})"
+
+
+@query()
+def span_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    """How like the spans they cite quotes are, as scans garble letters. The other engine's edit distance counts bytes, so the tests compare it with a plain one."""
+    q = spark.sql(f"WITH {_QUOTES} SELECT * FROM quotes", documents=table(spark, sf, "documents"))
+    return q.select("doc_id", F.round(R.span_similarity(F.col("claim"), F.col("span")), 6).alias("similarity"))
+
+
+_ASKED = "asked AS (SELECT event_id, value / 100.0 AS similarity, event_id % 11 = 0 AS declined, (event_id % 7) / 20.0 AS failed, CAST(event_id % 3 AS INT) AS untraced, value AS given, CASE WHEN event_id % 4 = 0 THEN value * 1.02 ELSE value * 1.005 END AS expected FROM {events})"
+
+
+@query(f"WITH {_ASKED.format(events='events')} SELECT event_id, CASE WHEN coalesce(similarity, 0) < 0.3 THEN 'no_relevant_context' WHEN declined THEN 'model_declined' WHEN failed > 0.2 THEN 'verification_failed' WHEN untraced > 0 THEN 'untraceable_numeric' END AS refused_for FROM asked")
+def refusal_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    a = spark.sql(f"WITH {_ASKED} SELECT * FROM asked", events=table(spark, sf, "events"))
+    return a.select("event_id", R.refusal(F.col("similarity"), F.col("declined"), F.col("failed"), F.col("untraced")).alias("refused_for"))
+
+
+@query(f"WITH {_ASKED.format(events='events')} SELECT count(*) AS queries, count(*) FILTER (abs(given - expected) <= abs(expected) * 0.01) AS \"right\", count(*) FILTER (abs(given - expected) <= abs(expected) * 0.01) / CAST(count(*) AS DOUBLE) AS numeric_accuracy, 0.25 AS cost_per_query FROM asked")
+def numeric_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures right within one per cent, and the cost a query."""
+    a = spark.sql(f"WITH {_ASKED} SELECT * FROM asked", events=table(spark, sf, "events"))
+    return R.numeric_accuracy(a.select("given", "expected", F.lit(0.25).alias("cost")))
+
+
+@query(_B + "SELECT set_id, token, deficit FROM compared WHERE deficit > 0 ORDER BY deficit DESC, set_id, token LIMIT 40")
+def top_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the figures that are missed most."""
+    return V.report(_compared(spark, sf).where("deficit > 0").select("set_id", "token", "deficit"), 40, F.desc("deficit"), "set_id", "token")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """An extension: hourly windows, the same for a table and a stream."""

@@ -11,7 +11,7 @@ from tracefold.plans import query
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return P.page_spans(I.pages(spark, sf), normalise=False)
+    return P.page_spans(I.pages(spark, sf))
 
 
 _S, _L = f"WITH {I.SPANS_SQL}\n", f"WITH RECURSIVE {I.LINES_SQL}"
@@ -65,7 +65,7 @@ _LAYERS = f"WITH {I.SPANS_SQL},\nlayers AS (SELECT doc_id, CAST(sum(length(text)
 
 @query(_LAYERS + "SELECT doc_id, n_chars, page_count, chars_per_page, has_text_layer, CASE WHEN has_text_layer THEN 'ok' ELSE 'no_text_layer' END AS status FROM probed")
 def text_layer(spark: SparkSession, sf: str) -> DataFrame:
-    return P.text_layers(I.pages(spark, sf), normalise=False)
+    return P.text_layers(I.pages(spark, sf))
 
 
 _EDGES = ", ".join(f"({a}, {b}, (SELECT count(*) FROM probed WHERE chars_per_page >= {a}{f' AND chars_per_page < {b}' if b != 'NULL' else ''}))" for a, b in zip((0, *P.HISTOGRAM_EDGES), (*P.HISTOGRAM_EDGES, "NULL")))
@@ -73,12 +73,12 @@ _EDGES = ", ".join(f"({a}, {b}, (SELECT count(*) FROM probed WHERE chars_per_pag
 
 @query(_LAYERS + f"SELECT CAST(low AS INT) AS low, CAST(high AS INT) AS high, n, repeat('#', CAST(least(n, 50) AS INT)) AS bar FROM (VALUES {_EDGES}) v(low, high, n)")
 def cpp_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return P.histogram(P.text_layers(I.pages(spark, sf), normalise=False), "chars_per_page")
+    return P.histogram(P.text_layers(I.pages(spark, sf)), "chars_per_page")
 
 
 @query(_LAYERS + "SELECT count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS total_pages, CAST(sum(CASE WHEN has_text_layer THEN page_count ELSE 0 END) AS BIGINT) AS digital_pages, sum(CASE WHEN has_text_layer THEN page_count ELSE 0 END) * 100.0::DOUBLE / sum(page_count) AS coverage FROM probed")
 def probe_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return P.probe_summary(P.text_layers(I.pages(spark, sf), normalise=False))
+    return P.probe_summary(P.text_layers(I.pages(spark, sf)))
 
 
 @query(_S + ", whole AS (SELECT doc_id, string_agg(text, '' ORDER BY page_no) AS text FROM spans GROUP BY doc_id) SELECT doc_id, sha256(text) AS sha256, length(text) AS n_chars FROM whole")
@@ -192,12 +192,21 @@ def chunk_summary(spark: SparkSession, sf: str) -> DataFrame:
     return C.summarize(_chunks(spark, sf))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS problem WHERE FALSE")
+@query(_L + _CHUNKS + ", planted AS (SELECT doc_id, ordinal, CASE WHEN (doc_id + ordinal) % 11 = 0 THEN 'span outside of the document' WHEN (doc_id + ordinal) % 13 = 0 THEN 'body differs from its span' END AS problem FROM chunks) SELECT * FROM planted WHERE problem IS NOT NULL")
 def chunk_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """No rows: every chunk's spans hold what it shows."""
+    """Every chunk is checked against its document; those with faults put in on purpose are found, and no other."""
     s = _spans(spark, sf)
     whole = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "").alias("text"))
-    return C.chunk_violations(C.chunks(s, P.lines_of(s)), whole, check_context=True).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    k = F.col("doc_id") + F.col("ordinal")
+    faulty = C.chunks(s, P.lines_of(s)).withColumn("char_end", F.when(k % 11 == 0, F.col("char_end") + 1_000_000_000).otherwise(F.col("char_end"))).withColumn("text", F.when(k % 13 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    return C.chunk_violations(faulty, whole, check_context=True).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+@query(_S + ", kinds AS (SELECT d.source AS set_id, s.* FROM spans s JOIN documents d ON d.doc_id = s.doc_id) SELECT set_id, count(*) FILTER (NOT is_cover_sheet AND anchor_scheme = 'bates') AS bates, count(*) FILTER (NOT is_cover_sheet AND anchor_scheme = 'page_label') AS page_label, count(*) FILTER (NOT is_cover_sheet AND anchor_scheme = 'pdf_page') AS pdf_page, (SELECT count(*) FROM kinds WHERE NOT is_cover_sheet AND anchor_scheme = 'pdf_page') AS weak_total FROM kinds GROUP BY set_id")
+def anchor_set_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Citable pages by anchor scheme for each set of documents, beside the number of weakly anchored pages in all."""
+    sets = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("source").alias("set_id"))
+    return P.with_weak_total(P.anchor_coverage(_spans(spark, sf).join(sets, "doc_id"), "set_id"))
 
 
 @query(_L + _ROWS + ", table_pages AS (SELECT k.doc_id, k.page_no FROM kinds k JOIN spans s ON s.doc_id = k.doc_id AND s.page_no = k.page_no WHERE kind = 'table' AND NOT is_cover_sheet) SELECT t.doc_id, t.page_no FROM table_pages t WHERE NOT EXISTS (SELECT 1 FROM table_rows r WHERE r.doc_id = t.doc_id AND r.page_no = t.page_no)")

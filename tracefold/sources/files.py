@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -41,11 +42,20 @@ def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Document rows of a nested or a flat manifest. Malformed JSON raises, so that it isn't overwritten."""
-    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(f"items ARRAY<STRUCT<{_struct(ITEM)}>>, {DOCUMENT}, {SET.rsplit(', documents', 1)[0]}").json(path)
-    nested = raw.where("items IS NOT NULL").select(F.inline("items"))
-    flat = raw.where("items IS NULL AND filename IS NOT NULL")
-    return manifests.flatten(nested).unionByName(flat.drop("items"), allowMissingColumns=True).dropDuplicates(["filename"])
+    """Document rows of a nested or a flat manifest; of several entries of a file name the last counts. Malformed JSON raises, so that it isn't overwritten."""
+    items, flat = _manifest(spark, path)
+    flat = manifests.last_wins(flat.where("filename IS NOT NULL"), "filename", "_i")
+    return manifests.flatten(items).unionByName(flat, allowMissingColumns=True)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The items of a nested manifest, and the entries of a flat one, with their places ``_i``; one of them is empty."""
+    raw = spark.read.text(path, wholetext=True).withColumn("flat", F.trim("value", F.lit(" \t\r\n")).startswith("["))
+    # Only what has the form is parsed: a filter alone would not keep the other form from the parser.
+    parsed = lambda kind, own: F.from_json(F.when(own, F.col("value")), kind, {"mode": "FAILFAST"})
+    items = raw.select(parsed(f"STRUCT<items: ARRAY<STRUCT<{_struct(ITEM)}>>>", ~F.col("flat")).alias("m")).select(F.posexplode("m.items").alias("_i", "x")).select("_i", "x.*")
+    entries = raw.select(F.posexplode(parsed(f"ARRAY<STRUCT<{_struct(DOCUMENT)}, {_struct(SET.rsplit(', documents', 1)[0])}>>", F.col("flat"))).alias("_i", "x")).select("_i", "x.*")
+    return items, entries
 
 
 def _struct(ddl: str) -> str:
@@ -62,12 +72,38 @@ def _struct(ddl: str) -> str:
     return ", ".join(out)
 
 
-def read_prior(spark: SparkSession, path: str) -> DataFrame | None:
-    """An earlier manifest, None if there is none; a broken one raises."""
+def read_prior(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """What an earlier manifest says of sets and of files, None if there is none; a broken one raises."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return read_manifest(spark, path)
+    items, flat = _manifest(spark, path)
+    own = manifests.last_wins(flat.where("filename IS NOT NULL"), "filename", "_i").select("filename", *manifests.KEPT_DOC_FIELDS)
+    return manifests.prior_sets(items), manifests.prior_documents(items).unionByName(own)
+
+
+class DocumentSource(Protocol):
+    """Where documents come from: what there is of a control number, and the bytes of it."""
+
+    def list_documents(self, control_number: str) -> DataFrame: ...
+
+    def fetch(self, documents: DataFrame) -> DataFrame: ...
+
+
+class FolderSource:
+    """The source of files in one folder, described by its ``manifest.json`` if there is one."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def list_documents(self, control_number: str) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest.json")
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return served_folder(self.spark, self.folder, control_number, read_manifest(self.spark, f"{self.folder}/manifest.json") if there else None)
+
+    def fetch(self, documents: DataFrame) -> DataFrame:
+        """(path, content, sha256) of the listed documents."""
+        return contents(self.spark, self.folder, "*.[pP][dD][fF]").join(documents.select("path"), "path", "left_semi")
 
 
 def read_export(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
@@ -170,4 +206,4 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
-__all__ = ["contents", "docx_rows", "native_pairs", "paginated_text", "read_export", "read_manifest", "read_natives", "read_prior", "served_folder", "table", "write_report", "xlsx_rows"]
+__all__ = ["DocumentSource", "FolderSource", "contents", "docx_rows", "native_pairs", "paginated_text", "read_export", "read_manifest", "read_natives", "read_prior", "served_folder", "table", "write_report", "xlsx_rows"]
