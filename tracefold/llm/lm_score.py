@@ -36,6 +36,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_scored_cha
 _BITS = 22
 _BASE = np.uint64(0xD1342543DE82EF95)
 _CACHE_WORDS = 300_000
+_CHUNK_CHARS = 1 << 20  # words new to the cache make up lattices, the larger the better
 
 
 def default_vocabulary() -> str:
@@ -267,7 +268,7 @@ def fit_weights(docs: DataFrame, vocabulary: Vocabulary, prior_words: float, ite
 
 def score_texts(texts: list[str], v: Vocabulary, cache: dict[str, float]) -> Iterator[tuple[int, int, float]]:
     """(words, characters with word marks, log-probability) of each text."""
-    for lo, hi in chunks(texts):
+    for lo, hi in chunks(texts, _CHUNK_CHARS):
         split = [t.split() for t in texts[lo:hi]]
         if len(cache) > _CACHE_WORDS:
             cache.clear()
