@@ -3,14 +3,15 @@
 Language identification drops what has no language, near-duplicate removal keeps one
 document of each group, decontamination drops documents that hold benchmark items, the
 secret scan redacts its findings, and packing assigns what is left to sequences. Each stage
-has the docstring of its operator for nulls, empty texts, ties, repeated rows and extra columns.
+has the docstring of its operator for nulls, empty texts, ties, repeated rows and extra columns. The stages bound the rows that
+the session sends to Python at once (``small_batches``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm._text import discard, scratch, table
+from tracefold.llm._text import discard, scratch, small_batches, table
 from tracefold.llm.decontaminate import drop_contaminated
 from tracefold.llm.lang_id import keep_identified
 from tracefold.llm.near_dedup import drop_near_duplicates
@@ -19,22 +20,27 @@ from tracefold.llm.secret_scan import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_documents(docs)
 
 

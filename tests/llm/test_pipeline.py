@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -91,3 +92,21 @@ def test_odd_documents_reach_every_stage(spark, tmp_path):
     sizes = docs.groupBy("doc_id").count().collect()
     assert {r.doc_id for r in sizes} == set(range(80)) | {None, 310}
     assert sum(r.n_tokens for r in docs.where("doc_id = 310").collect()) >= 60_000
+
+
+def test_stages_bound_what_python_gets_at_once(spark, make_docs):
+    """A batch of 10,000 texts, many times over, took executors of the pipeline over their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches)
+
+    try:
+        for rows, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(key, rows)
+            P.secret_scan(spark, make_docs([]), "")
+            got = [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n BIGINT").collect()]
+            assert sum(got) == 2500 and max(got) == most
+    finally:
+        spark.conf.set(key, before)

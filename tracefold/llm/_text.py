@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_CHARS = 1 << 18
+BATCH_ROWS = 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 
@@ -61,6 +62,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on, this session sends at most ``BATCH_ROWS`` rows at once to Python (fewer, if it is set so).
+
+    Spark's 10,000 texts are buffers of tens of MB on either side of the socket, beside the heap, whose room is not given back.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
