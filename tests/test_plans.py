@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 #: query: (exchanges, joins, window functions) at most
 MOST = {
     "verdict": (3, 1, 0),
+    "corpus_totals": (3, 1, 0),
 }
 
 
