@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 MOST = {
     "verdict": (3, 1, 0),
     "corpus_totals": (3, 1, 0),
+    "assoc_pairs": (1, 0, 0),
 }
 
 
