@@ -12,6 +12,7 @@ MOST = {
     "verdict": (3, 1, 0),
     "corpus_totals": (3, 1, 0),
     "assoc_pairs": (1, 0, 0),
+    "dist_histogram": (2, 1, 0),
 }
 
 
