@@ -13,6 +13,7 @@ MOST = {
     "corpus_totals": (3, 1, 0),
     "assoc_pairs": (1, 0, 0),
     "dist_histogram": (2, 1, 0),
+    "assoc": (1, 0, 0),
 }
 
 
