@@ -14,6 +14,7 @@ MOST = {
     "assoc_pairs": (1, 0, 0),
     "dist_histogram": (2, 1, 0),
     "assoc": (1, 0, 0),
+    "assoc_governing": (1, 0, 0),
 }
 
 
