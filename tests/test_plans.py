@@ -16,6 +16,7 @@ MOST = {
     "assoc": (1, 0, 0),
     "assoc_governing": (1, 0, 0),
     "native_candidates": (4, 1, 0),
+    "workpaper_yield": (1, 0, 0),
 }
 
 
