@@ -17,6 +17,7 @@ MOST = {
     "assoc_governing": (1, 0, 0),
     "native_candidates": (4, 1, 0),
     "workpaper_yield": (1, 0, 0),
+    "num_compare": (1, 0, 0),
 }
 
 
