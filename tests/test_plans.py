@@ -18,6 +18,7 @@ MOST = {
     "native_candidates": (4, 1, 0),
     "workpaper_yield": (1, 0, 0),
     "num_compare": (1, 0, 0),
+    "top_missing": (1, 0, 0),
 }
 
 
