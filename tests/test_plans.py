@@ -19,6 +19,7 @@ MOST = {
     "workpaper_yield": (1, 0, 0),
     "num_compare": (1, 0, 0),
     "top_missing": (1, 0, 0),
+    "sign_losses": (1, 0, 0),
 }
 
 
