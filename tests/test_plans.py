@@ -20,6 +20,7 @@ MOST = {
     "num_compare": (1, 0, 0),
     "top_missing": (1, 0, 0),
     "sign_losses": (1, 0, 0),
+    "chunk_summary": (2, 0, 2),
 }
 
 
@@ -77,3 +78,29 @@ def test_descriptions_are_normalised_once_under_a_filter(spark):
     for name in ("src_export", "triage", "curated"):
         optimised = plan_of(e.queries()[name](spark, SF))[0]
         assert optimised.count("confidentility") <= 4, name  # one look and one repair; a filter on the verdict made it over two hundred
+
+
+def test_chunks_of_odd_pages(spark):
+    from tracefold.operators import chunks as C, pages as P
+
+    table = "Schedule A\n(in thousands)\nCash\n$\n100\n(5)\nPlant\n7\n8\n9\n"
+    prose = "\n".join(["x" * 1300, "", "y" * 700, " z "])
+    rows = [(1, 2, table), (1, 1, prose), (1, 3, " \n\n"), (2, 1, "Control Number: 1\nItem Number: 2"), (3, 1, None), (4, 1, "a\n7")]
+    got = {}
+    for r in C.chunks(P.page_spans(spark.createDataFrame(rows, "doc_id BIGINT, page_no INT, text STRING"))).collect():
+        got[r.doc_id, r.ordinal] = (r.page_start, r.kind, r.text, r.char_start, r.char_end, r.context_char_start, r.context_char_end)
+    n = len(prose) + 1
+    assert got == {
+        (1, 0): (1, "prose", "x" * 1300, 0, 1300, None, None),
+        (1, 1): (1, "prose", "y" * 700 + "\nz", 1302, n - 1, None, None),
+        (1, 2): (2, "table", "Schedule A\n(in thousands)\n\nCash\n$\n100\n(5)\nPlant\n7\n8\n9", n + 26, n + len(table) - 1, n, n + 25),
+    }
+
+
+def test_packing_of_units():
+    from tracefold.operators import chunks as C
+
+    assert C.packed([(2500, False), (10, True), (1990, False), (1, False)], True) == [0, 1, 1, 2]
+    assert C.packed([(1200, False), (0, True), (5, False)], True) == [0, 0, 1]
+    assert C.packed([(600, False), (600, True), (1, False)], False) == [0, 0, 1]
+    assert C.packed([], True) == []

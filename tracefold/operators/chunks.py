@@ -2,16 +2,22 @@
 
 A page with short lines is a table. Its header ends at the first label that three numeric
 lines follow; from there on a label owns the numeric lines after it, and rows are never
-split. Packing is greedy and so sequential within a page; it runs as a fold over the page's
-own units on the JVM, in parallel over pages.
+split. Packing is greedy and so sequential within a page; it runs as a loop over the page's
+own units, in parallel over documents.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
+from tracefold.operators.by_set import each_key
 
 CHARS_PER_LINE = 15.0
 NUMERIC_RUN = 3
@@ -53,49 +59,97 @@ def table_rows(lines: DataFrame) -> DataFrame:
     return body.withColumn("starts", starts.cast("int")).withColumn("row_no", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("starts")
 
 
-def _packed(sizes: Column, prose: bool) -> Column:
-    """The batch of each unit. sizes: array of (size, blank) in order."""
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("held"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<int>").alias("of"))
-
-    def step(s: Column, u: Column) -> Column:
-        over = (s["held"] > 0) & (s["size"] + u["size"] > (MAX_CHARS if prose else TARGET_CHARS))
-        batch = s["batch"] + over.cast("int")
-        held = F.when(over, 1).otherwise(s["held"] + 1)
-        size = F.when(over, u["size"]).otherwise(s["size"] + u["size"])
-        full = (size >= TARGET_CHARS) & u["blank"] if prose else F.lit(False)
-        return F.struct((batch + full.cast("int")).alias("batch"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, F.lit(0).cast("bigint")).otherwise(size).alias("size"), F.concat(s["of"], F.array(batch)).alias("of"))
-
-    return F.aggregate(sizes, zero, step, lambda s: s["of"])
-
-
-def chunks(spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """All chunks of citable pages with their spans, context and anchor; ordinals run through the document from 0."""
-    pages = spans.where(~F.col("is_cover_sheet")).select("doc_id", "page_no", "anchor_scheme", "anchor_value")
-    own = with_header(with_kind(lines)).join(pages, list(_PAGE))
-    table = F.col("kind") == "table"
-    head = table & (F.col("line_no") < F.col("header_end")) & ~F.col("is_blank")
-    unit_of = own.withColumn("head", head).where(~table | F.col("head") | ((F.col("line_no") >= F.col("header_end")) & ~F.col("is_blank")))
-    w = Window.partitionBy(*_PAGE, "head").orderBy("line_no")
-    starts = F.when(table & F.col("is_numeric") & (F.row_number().over(w) > 1), 0).otherwise(1)
-    unit_of = unit_of.withColumn("starts", starts).withColumn("unit", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    line = F.struct("line_no", "unit", "head", T.strip(F.col("text")).alias("text"), F.length("text").cast("bigint").alias("size"), F.col("is_blank").alias("blank"), "char_start", "char_end")
-    page = unit_of.groupBy(*_PAGE, "kind", "anchor_scheme", "anchor_value").agg(F.array_sort(F.collect_list(line)).alias("ls"))
-    page = page.withColumn("heads", F.filter("ls", lambda x: x["head"])).withColumn("body", F.filter("ls", lambda x: ~x["head"]))
-    by_unit = F.when(table, F.transform(F.sequence(F.lit(1), F.greatest(F.array_max(F.transform("body", lambda x: x["unit"])), F.lit(1))), lambda u: F.struct(F.aggregate(F.filter("body", lambda x: x["unit"] == u), F.lit(0).cast("bigint"), lambda a, x: a + x["size"]).alias("size"), F.lit(False).alias("blank"))))
-    sizes = by_unit.otherwise(F.transform("body", lambda x: F.struct(x["size"].alias("size"), x["blank"].alias("blank"))))
-    page = page.where(F.size("body") > 0).withColumn("sizes", sizes)
-    page = page.withColumn("of", F.when(table, _packed(F.col("sizes"), False)).otherwise(_packed(F.col("sizes"), True)))
-    page = page.withColumn("batches", F.array_distinct("of"))
-    context = F.array_join(F.transform("heads", lambda x: x["text"]), "\n")
-    page = page.select("*", context.alias("head_text"), F.try_element_at("heads", F.lit(1))["char_start"].alias("context_char_start"), F.try_element_at("heads", F.lit(-1))["char_end"].alias("context_char_end"))
-    each = page.select("*", F.explode("batches").alias("batch"))
-    mine = F.filter("body", lambda x: (F.element_at("of", x["unit"]) == F.col("batch")) & ~x["blank"])
-    each = each.withColumn("mine", mine).where(F.size("mine") > 0)
-    body = F.array_join(F.transform("mine", lambda x: x["text"]), "\n")
-    each = each.withColumn("context", F.when(F.col("head_text") != "", F.concat("head_text", F.lit("\n\n"))).otherwise(""))
-    each = each.select("doc_id", "page_no", "batch", "kind", "context", "context_char_start", "context_char_end", F.concat("context", body).alias("text"), F.col("mine")[0]["char_start"].alias("char_start"), F.element_at("mine", -1)["char_end"].alias("char_end"), "anchor_scheme", "anchor_value")
-    order = Window.partitionBy("doc_id").orderBy("page_no", "batch")
-    return each.select("doc_id", (F.row_number().over(order) - 1).alias("ordinal"), F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), "kind", "text", "char_start", "char_end", "context", "context_char_start", "context_char_end", "anchor_scheme", "anchor_value")
+def packed(sizes: Iterable[tuple[int, bool]], prose: bool) -> list[int]:
+    """The batch of each unit of (size, blank) in order."""
+    out, batch, held, size, most = [], 0, 0, 0, MAX_CHARS if prose else TARGET_CHARS
+    for n, blank in sizes:
+        if held and size + n > most:
+            batch, held, size = batch + 1, 0, 0
+        held, size = held + 1, size + n
+        out.append(batch)
+        if prose and blank and size >= TARGET_CHARS:
+            batch, held, size = batch + 1, 0, 0
+    return out
+
+
+_NUMERIC = re.compile(T.NUMERIC_LINE)
+_SHORT = 24
+
+
+def _line(line: str) -> tuple[str, bool]:
+    """A line stripped, and whether it holds nothing but signs of numbers."""
+    bare = line.strip(T.WHITE)
+    return bare, bare != "" and _NUMERIC.fullmatch(bare) is not None
+
+
+_short_line = lru_cache(maxsize=1 << 16)(_line)
+
+
+def page_chunks(text: str, start: int) -> Iterator[tuple]:
+    """(kind, context, body, char_start, char_end, context_char_start, context_char_end) of each chunk of a page that begins at ``start``."""
+    lines, at = [], start
+    for line in text.split("\n"):
+        n = len(line)
+        lines.append((at, n, *(_short_line(line) if n <= _SHORT else _line(line))))
+        at += n + 1
+    content = [(i, x) for i, x in enumerate(lines) if x[2]]
+    if not content:
+        return
+    prose = sum(x[1] for _, x in content) / len(content) >= CHARS_PER_LINE
+    context, first, last, units = "", None, None, lines
+    if prose:
+        of = packed(((n, not bare) for _, n, bare, _ in lines), True)
+    else:
+        run, opens = 0, min(len(lines), MAX_HEADER_LINES)
+        for i, x in reversed(content):
+            if x[3]:
+                run += 1
+            else:
+                if run >= NUMERIC_RUN:
+                    opens = i
+                run = 0
+        heads, units = [x for i, x in content if i < opens], [x for i, x in content if i >= opens]
+        if heads:
+            context, first, last = "\n".join(x[2] for x in heads) + "\n\n", heads[0][0], heads[-1][0] + heads[-1][1]
+        rows, row_of = [], []
+        for x in units:
+            if not rows or not x[3]:
+                rows.append(0)
+            rows[-1] += x[1]
+            row_of.append(len(rows) - 1)
+        batches = packed(((n, False) for n in rows), False)
+        of = [batches[r] for r in row_of]
+    for _, mine in groupby(zip(of, units), lambda x: x[0]):
+        held = [x for _, x in mine if x[2]]
+        if held:
+            yield "prose" if prose else "table", context, "\n".join(x[2] for x in held), held[0][0], held[-1][0] + held[-1][1], first, last
+
+
+COLUMNS = {"doc_id": "BIGINT", "ordinal": "INT", "page_start": "INT", "page_end": "INT", "kind": "STRING", "text": "STRING", "char_start": "BIGINT", "char_end": "BIGINT", "context": "STRING", "context_char_start": "BIGINT", "context_char_end": "BIGINT", "anchor_scheme": "STRING", "anchor_value": "STRING"}
+
+
+def chunks(spans: DataFrame, columns: Iterable[str] = tuple(COLUMNS), kind: str | None = None) -> DataFrame:
+    """All chunks of citable pages with their spans, context and anchor, or those of one kind; ordinals run through the document from 0 over both. ``n_chars`` is the length of the text.
+
+    A document's pages come one after the other and each is cut in one pass; lines are no rows, and only the columns asked for are made.
+    """
+    columns, kinds = tuple(columns), COLUMNS | {"n_chars": "INT"}
+    at = [tuple(kinds).index(c) for c in columns]
+
+    def run(doc_id, pages):
+        ordinal = -1
+        for page_no, text, start, scheme, value in sorted(pages, key=lambda p: p[0]):
+            if text is None:
+                continue
+            for a, context, body, *span in page_chunks(text, start):
+                ordinal += 1
+                if kind is None or a == kind:
+                    whole = context + body
+                    row = (doc_id, ordinal, page_no, page_no, a, whole, span[0], span[1], context, span[2], span[3], scheme, value, len(whole))
+                    yield tuple(row[i] for i in at)
+
+    pages = spans.where(~F.col("is_cover_sheet")).select("doc_id", "page_no", "text", "char_start", "anchor_scheme", "anchor_value")
+    return each_key(pages.sortWithinPartitions("doc_id", "page_no"), run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def chunk_body(text: Column, context: Column) -> Column:
@@ -124,10 +178,14 @@ def chunk_violations(c: DataFrame, documents: DataFrame, check_context: bool = F
 
 
 def summarize(c: DataFrame) -> DataFrame:
-    """Chunks by kind, upper median and largest size, and how many have the weakest anchor."""
-    out = c.agg(F.count("*").alias("chunks"), F.count_if(F.col("kind") == "table").alias("table"), F.count_if(F.col("kind") == "prose").alias("prose"), F.count_if(F.col("anchor_scheme") == "pdf_page").alias("weakly_anchored"))
-    sizes = c.select(F.length("text").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
-    # The element at n div 2 of all sizes in order, from counts by size: nothing is collected in one place.
-    run = sizes.withColumn("upto", F.sum("k").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("k").over(Window.partitionBy()))
-    middle = run.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.coalesce(F.min("n"), F.lit(0)).alias("median_chars"))
-    return out.crossJoin(middle).crossJoin(sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_chars")))
+    """Chunks by kind, upper median and largest size, and how many have the weakest anchor, of (kind, n_chars, anchor_scheme).
+
+    The element at n div 2 of all sizes in order is found from counts by size, so nothing is collected in one place and chunks are made once.
+    """
+    counts = {"k": F.count("*"), "table": F.count_if(F.col("kind") == "table"), "prose": F.count_if(F.col("kind") == "prose"), "weak": F.count_if(F.col("anchor_scheme") == "pdf_page")}
+    sizes = c.groupBy("n_chars").agg(*(v.alias(k) for k, v in counts.items()))
+    # One row for each size that occurs.
+    run = sizes.withColumn("upto", F.sum("k").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("k").over(Window.partitionBy()))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("n_chars")))
+    some = lambda x: F.coalesce(x, F.lit(0))
+    return run.agg(some(F.sum("k")).alias("chunks"), some(F.sum("table")).alias("table"), some(F.sum("prose")).alias("prose"), some(F.sum("weak")).alias("weakly_anchored"), some(middle).alias("median_chars"), some(F.max("n_chars")).alias("max_chars"))

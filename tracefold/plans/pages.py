@@ -162,9 +162,11 @@ def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     return C.table_rows(P.lines_of(_spans(spark, sf))).select("doc_id", "page_no", "line_no", "row_no")
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    s = _spans(spark, sf)
-    return C.chunks(s, P.lines_of(s))
+def _chunks(spark: SparkSession, sf: str, *columns: str, kind: str | None = None) -> DataFrame:
+    return C.chunks(_spans(spark, sf), columns or C.COLUMNS, kind)
+
+
+_SHOWN = ("doc_id", "ordinal", "text", "char_start", "char_end")
 
 
 @query(_L + _CHUNKS + " SELECT * FROM chunks")
@@ -174,22 +176,22 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_L + _CHUNKS + " SELECT doc_id, ordinal, text, char_start, char_end FROM chunks WHERE kind = 'table'")
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).where("kind = 'table'").select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "text", "char_start", "char_end")
+    return _chunks(spark, sf, *_SHOWN, kind="table").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query(_L + _CHUNKS + " SELECT doc_id, ordinal, text, char_start, char_end FROM chunks WHERE kind = 'prose'")
 def chunk_prose(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).where("kind = 'prose'").select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "text", "char_start", "char_end")
+    return _chunks(spark, sf, *_SHOWN, kind="prose").withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query(_L + _CHUNKS + " SELECT doc_id, ordinal, CAST(CASE WHEN which = 1 AND context_char_start IS NOT NULL THEN 1 ELSE 0 END AS INT) AS span_no, CASE WHEN which = 0 THEN context_char_start ELSE char_start END AS span_start, CASE WHEN which = 0 THEN context_char_end ELSE char_end END AS span_end FROM chunks, (SELECT unnest([0, 1]) AS which) WHERE which = 1 OR context_char_start IS NOT NULL")
 def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return C.chunk_spans(_chunks(spark, sf)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return C.chunk_spans(_chunks(spark, sf, "doc_id", "ordinal", "char_start", "char_end", "context_char_start", "context_char_end")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query(_L + _CHUNKS + ", sized AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) - 1 AS k, count(*) OVER () AS c FROM chunks) SELECT count(*) AS chunks, count(*) FILTER (kind = 'table') AS \"table\", count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (anchor_scheme = 'pdf_page') AS weakly_anchored, CAST((SELECT n FROM sized WHERE k = c // 2) AS INT) AS median_chars, CAST(max(length(text)) AS INT) AS max_chars FROM chunks")
 def chunk_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return C.summarize(_chunks(spark, sf))
+    return C.summarize(_chunks(spark, sf, "kind", "n_chars", "anchor_scheme"))
 
 
 @query(_L + _CHUNKS + ", planted AS (SELECT doc_id, ordinal, CASE WHEN (doc_id + ordinal) % 11 = 0 THEN 'span outside of the document' WHEN (doc_id + ordinal) % 13 = 0 THEN 'body differs from its span' END AS problem FROM chunks) SELECT * FROM planted WHERE problem IS NOT NULL")
@@ -198,7 +200,7 @@ def chunk_violations(spark: SparkSession, sf: str) -> DataFrame:
     s = _spans(spark, sf)
     whole = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "").alias("text"))
     k = F.col("doc_id") + F.col("ordinal")
-    faulty = C.chunks(s, P.lines_of(s)).withColumn("char_end", F.when(k % 11 == 0, F.col("char_end") + 1_000_000_000).otherwise(F.col("char_end"))).withColumn("text", F.when(k % 13 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    faulty = C.chunks(s).withColumn("char_end", F.when(k % 11 == 0, F.col("char_end") + 1_000_000_000).otherwise(F.col("char_end"))).withColumn("text", F.when(k % 13 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
     return C.chunk_violations(faulty, whole, check_context=True).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
