@@ -21,6 +21,7 @@ MOST = {
     "top_missing": (1, 0, 0),
     "sign_losses": (1, 0, 0),
     "chunk_summary": (2, 0, 2),
+    "chunk_prose": (1, 0, 1),
 }
 
 
