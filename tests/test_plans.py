@@ -22,6 +22,7 @@ MOST = {
     "sign_losses": (1, 0, 0),
     "chunk_summary": (2, 0, 2),
     "chunk_prose": (1, 0, 1),
+    "chunk_spans": (1, 0, 1),
 }
 
 
