@@ -23,6 +23,7 @@ MOST = {
     "chunk_summary": (2, 0, 2),
     "chunk_prose": (1, 0, 1),
     "chunk_spans": (1, 0, 1),
+    "chunk_violations": (4, 1, 2),
 }
 
 
