@@ -24,6 +24,7 @@ MOST = {
     "chunk_prose": (1, 0, 1),
     "chunk_spans": (1, 0, 1),
     "chunk_violations": (4, 1, 2),
+    "chunk_table": (1, 0, 1),
 }
 
 
