@@ -25,6 +25,7 @@ MOST = {
     "chunk_spans": (1, 0, 1),
     "chunk_violations": (4, 1, 2),
     "chunk_table": (1, 0, 1),
+    "chunks": (1, 0, 1),
 }
 
 
