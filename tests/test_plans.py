@@ -20,12 +20,13 @@ MOST = {
     "num_compare": (1, 0, 0),
     "top_missing": (1, 0, 0),
     "sign_losses": (1, 0, 0),
-    "chunk_summary": (2, 0, 2),
+    "chunk_summary": (2, 0, 3),
     "chunk_prose": (1, 0, 1),
     "chunk_spans": (1, 0, 1),
     "chunk_violations": (4, 1, 2),
     "chunk_table": (1, 0, 1),
     "chunks": (1, 0, 1),
+    "topk_cosine": (1, 0, 0),
 }
 
 
@@ -109,3 +110,20 @@ def test_packing_of_units():
     assert C.packed([(1200, False), (0, True), (5, False)], True) == [0, 0, 1]
     assert C.packed([(600, False), (600, True), (1, False)], False) == [0, 0, 1]
     assert C.packed([], True) == []
+
+
+def test_exact_search_with_many_ties_and_repeated_ids(spark):
+    import numpy as np
+
+    from tracefold.operators import retrieval as R
+
+    x = np.random.default_rng(1).standard_normal((6, 4)).astype(np.float32)
+    rows = [(200 - i, x[0].tolist()) for i in range(60)] + [(i, x[i].tolist()) for i in range(1, 6)] + [(1, x[2].tolist()), (1, [1.0, 2.0])]
+    t = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = {}
+    for r in R.topk_cosine(t, t.where("vec_id in (1, 200, 150)"), k=5, block=2).collect():
+        got.setdefault(r.query_id, {})[r.place] = (r.vec_id, round(r.similarity, 12))
+    u = [(i, np.asarray(e, float) / np.linalg.norm(np.asarray(e, float))) for i, e in rows]
+    for q in (1, 200, 150):
+        all_ = sorted((-round(float((a * b).sum()), 12), j) for i, a in u if i == q for j, b in u if j != q and len(a) == len(b))
+        assert [got[q][p] for p in range(1, 6)] == [(j, -s) for s, j in all_[:5]]

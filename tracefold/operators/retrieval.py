@@ -5,57 +5,119 @@ The large training-scale search is a part of its own; this one is exact, for a g
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _nearest_of(k: int):
-    """Of one block of vectors, the k nearest to each query of one block."""
-
-    def unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows.sort_by("id")
-        x = rows["e"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-        return rows["id"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(left) and len(right):
-            (qid, q), (vid, v) = unit(left), unit(right)
-            take = min(len(vid), k + 8)  # more than k, as ties are settled on sums in one order
-            for lo in range(0, len(qid), 512):
-                own = qid[lo : lo + 512, None] == vid[None, :]
-                rough = np.where(own, -np.inf, q[lo : lo + 512] @ v.T)
-                top = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                sim = np.where(np.take_along_axis(own, top, axis=1), -np.inf, (q[lo : lo + 512, None, :] * v[top]).sum(axis=2))
-                best = np.lexsort((vid[top], -sim), axis=1)[:, :k]
-                sim, near = np.take_along_axis(sim, best, axis=1), np.take_along_axis(vid[top], best, axis=1)
-                ok = np.isfinite(sim)
-                out.append((np.broadcast_to(qid[lo : lo + 512, None], sim.shape)[ok], near[ok], sim[ok]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "similarity"])
+#: How far a product of whole blocks may be from the sum of one pair's products, which decides.
+_ROUGH = 1e-9
+#: Pairs whose sums are taken at once, and queries whose products with a batch of vectors are held at once.
+_PAIRS, _ROWS = 1 << 16, 512
+
+
+def _first(k: int, group: np.ndarray, sim: np.ndarray, vid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each group the k rows of the largest similarity, ties by id, in order, with their places from 0."""
+    order = np.lexsort((vid, -sim, group))
+    group, sim, vid = group[order], sim[order], vid[order]
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if len(group) else np.zeros(0, np.int64)
+    place = np.arange(len(group)) - np.repeat(starts, np.diff(starts, append=len(group)))
+    keep = place < k
+    return group[keep], sim[keep], vid[keep], place[keep]
+
+
+class _Nearest:
+    """The k nearest of all vectors seen so far to each query of a block; what is held doesn't grow with the vectors."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.k, self.ids, self.unit = k, ids[order], unit[order]
+        self.sim, self.near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def see(self, vid: np.ndarray, v: np.ndarray) -> None:
+        for lo in range(0, len(self.ids), _ROWS):
+            q, ids = self.unit[lo : lo + _ROWS], self.ids[lo : lo + _ROWS]
+            rough = q @ v.T
+            a, b = np.searchsorted(ids, vid, "left"), np.searchsorted(ids, vid, "right")
+            for j in np.flatnonzero(b > a):
+                rough[a[j] : b[j], j] = -np.inf  # itself
+            least = self.sim[lo : lo + _ROWS, -1]
+            if len(vid) > self.k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(rough, len(vid) - self.k, axis=1)[:, len(vid) - self.k])
+            row, col = np.nonzero((rough >= (least - _ROUGH)[:, None]) & (rough > -np.inf))
+            if not len(row):
+                continue
+            sim = np.concatenate([(q[row[i : i + _PAIRS]] * v[col[i : i + _PAIRS]]).sum(axis=1) for i in range(0, len(row), _PAIRS)])
+            hit = np.unique(row)
+            old = np.repeat(hit, self.k)
+            held = np.isfinite(self.sim[lo + hit]).ravel()
+            row, sim, near, place = _first(self.k, np.concatenate([row, old[held]]), np.concatenate([sim, self.sim[lo + hit].ravel()[held]]), np.concatenate([vid[col], self.near[lo + hit].ravel()[held]]))
+            self.sim[lo + row, place], self.near[lo + row, place] = sim, near
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        ok = np.isfinite(self.sim)
+        return np.repeat(self.ids, self.k).reshape(self.sim.shape)[ok], self.sim[ok], self.near[ok]
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray]]:
+    """(whether they ask, size, ids, unit vectors) of the rows of a batch that are alike in both."""
+    asks, ids, e = batch["asks"].to_numpy(zero_copy_only=False), batch["id"].to_numpy(), batch["e"]
+    flat, ends = e.flatten().to_numpy().astype(np.float64), np.cumsum(pc.list_value_length(e).to_numpy())
+    sizes = np.diff(ends, prepend=0)
+    for ask in (True, False):
+        for n in np.unique(sizes[asks == ask]):
+            own = np.flatnonzero((asks == ask) & (sizes == n))
+            x = flat[(ends[own] - n)[:, None] + np.arange(n)]
+            yield ask, int(n), ids[own], x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest_of(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a block of queries and, after them, all vectors, the k nearest to each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list] = {}
+        blocks: dict[int, _Nearest] | None = None
+        for batch in batches:
+            for ask, n, ids, x in _by_size(batch):
+                if ask:
+                    asked.setdefault(n, []).append((ids, x))
+                    continue
+                if blocks is None:
+                    blocks = {m: _Nearest(*map(np.concatenate, zip(*of)), k) for m, of in asked.items()}
+                    asked.clear()
+                if n in blocks:
+                    blocks[n].see(ids, x)
+        if blocks:
+            # Rows that ask under one id share its places.
+            qid, sim, near, place = _first(k, *map(np.concatenate, zip(*(b.found() for b in blocks.values()))))
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(near), pa.array(sim), pa.array(place + 1, pa.int32())], names=["query_id", "vec_id", "similarity", "place"])
 
     return run
 
 
-def topk_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def topk_cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1 << 16) -> DataFrame:
     """The k vectors most like each query, itself left out; ties go to the smaller id.
 
-    Exact: blocks of vectors and of queries meet pairwise, so the work grows with queries times
-    vectors, and a task holds two blocks. Vectors of other lengths than the query's, and those
-    without length or with null, NaN or infinite entries, are neither found nor ask.
+    Exact: all vectors go by each block of queries, so the work grows with queries times vectors.
+    A task holds one block, of at most about ``block`` queries, and a batch of vectors; results
+    are k rows a query. There are about two blocks a core, so what is shuffled grows with the
+    vectors alone as long as blocks are not full. Vectors of other lengths than the query's, and
+    those without length or with null, NaN or infinite entries, are neither found nor ask.
     """
     usable = "NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(e, x -> x != 0)"
-    v, q = (d.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("id IS NOT NULL AND e IS NOT NULL").where(usable) for d in (vectors, queries))
-    vb, qb = (max(1, -(-d.count() // block)) for d in (vectors, queries))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = v.select("id", "e", F.size("e").alias("n"), own(vb).alias("vb")).select("*", each(qb).alias("qb"))
-    q = q.select("id", "e", F.size("e").alias("n"), own(qb).alias("qb")).select("*", each(vb).alias("vb"))
-    met = q.groupBy("n", "vb", "qb").cogroup(v.groupBy("n", "vb", "qb")).applyInArrow(_nearest_of(k), "query_id BIGINT, vec_id BIGINT, similarity DOUBLE")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    kind = lambda d: "array<float>" if d.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
+    same = kind(vectors) if kind(vectors) == kind(queries) else "array<double>"
+    v, q = (d.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast(same).alias("e")).where("id IS NOT NULL AND e IS NOT NULL").where(usable) for d in (vectors, queries))
+    asked = queries.count()
+    blocks = max(1, -(-asked // block), min(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-asked // 256)))
+    q = q.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(True).alias("asks"), "id", "e")
+    v = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(False).alias("asks"), "id", "e")
+    rows = q.unionByName(v).repartitionById(blocks, F.col("b")).sortWithinPartitions(F.desc("asks"))
+    return rows.select("asks", "id", "e").mapInArrow(_nearest_of(k), "query_id BIGINT, vec_id BIGINT, similarity DOUBLE, place INT")
 
 
 def ranking_metrics(ranked: DataFrame, relevant: Column, k: int) -> DataFrame:
