@@ -27,6 +27,7 @@ MOST = {
     "chunk_table": (1, 0, 1),
     "chunks": (1, 0, 1),
     "topk_cosine": (1, 0, 0),
+    "hit_at_k": (2, 2, 0),
 }
 
 
